@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import decontam, langid, mixing, pii, simhash
 from .common import read
 
 
@@ -14,6 +14,60 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: The key of the registered query; a user passes a secret one.
+PII_KEY = "saleslens"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+#: Quality weights by the label of a document: good, bad, none.
+GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
+
+
+def labelled_quality(docs: DataFrame, labels: DataFrame, out: str = "quality") -> DataFrame:
+    """``docs`` with the sampling quality of each; of repeated labels the best counts."""
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias("__label"))
+    value = F.when(F.col("__label") == 1, GOOD).when(F.col("__label") == 0, BAD).otherwise(UNKNOWN)
+    return docs.join(best, "doc_id", "left").withColumn(out, value).drop("__label")
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = labelled_quality(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), read(spark, sf_dir, "labels"), "__quality")
+    return mixing.mix(docs, quality=F.col("__quality")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = f"""
+WITH q AS (SELECT doc_id, max(quality) AS label FROM labels GROUP BY doc_id),
+d AS (
+  SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
+      / (CASE WHEN label = 1 THEN {GOOD} WHEN label = 0 THEN {BAD} ELSE {UNKNOWN} END) AS k
+  FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, 3.0 * source_size AS cap, row_number() OVER o AS pos,
+    (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY 3.0 * source_size / w, source NULLS LAST)),
+t AS (
+  SELECT source, source_size, least(cap, w * (SELECT level FROM r WHERE level <= cap / w ORDER BY pos LIMIT 1)) AS target FROM r),
+e AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size), 3) END AS epochs FROM t)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(size * (epochs + CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0
+    <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0)) == 0)
     model = langid.fit_dictionaries(docs.where("not held_out"), order=F.xxhash64("doc_id"))
@@ -22,7 +76,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_mix": op9_mix,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mix": OP9_SQL}
