@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import langid, simhash
+from saleslens.llm import decontam, langid, mixing, pii, simhash
 from saleslens.llm.common import materialize, read
+from saleslens.llm.queries import PII_KEY, labelled_quality
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item, up to substitutions."""
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data pseudonymized; n_chars is that of the new text."""
+    new = pii.pseudonymize(docs, PII_KEY, count="__n").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return new.select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the words that the mix takes of each; those it doesn't take go."""
+    with_quality = labelled_quality(docs, read(spark, sf_dir, "labels"), "__quality")
+    return mixing.mix(with_quality, quality=F.col("__quality")).where("taken > 0").drop("__quality")
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pseudonymize", pseudonymize), ("mix", mix)]
 
 ORACLE_SQL = None
 
