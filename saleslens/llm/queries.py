@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, simhash
-from .common import read
+from . import ann, chat, decontam, langid, mixing, pii, simhash, urlfilter, warc
+from .common import materialize, new_path, read
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    records = materialize(warc.read(spark, path, with_payload=False), "warc-read")
+    return warc.resolve(records).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (
+  SELECT *, translate(""" + " || ".join(f"lpad(to_base(CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT), 32), 4, '0')" for i in range(8)) + """,
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id != first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id != first THEN first END AS refers_to FROM q
+"""
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +36,69 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Stand-in for a published URL list: the pages of hosts with one of these labels.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(urlfilter.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")).select("url")
+    return urlfilter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = rf"""
+WITH p AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x != '' AND NOT starts_with(x, 'utm_'))) AS q FROM pages),
+c AS (
+  SELECT *, CASE WHEN host != '' THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical FROM p),
+r(what, h, pre) AS (VALUES {", ".join(f"('{w}', '{h}', '{p}')" for w, h, p in RULES)}),
+f AS (
+  SELECT page_id, url, max_by(h || pre, length(h || pre)) AS rule, max_by(what, length(h || pre)) AS what FROM (SELECT DISTINCT page_id, url, host, path FROM c)
+    JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id, url)
+SELECT c.page_id, host, path, rule, coalesce(what, CASE WHEN canonical IN (SELECT canonical FROM c WHERE canonical IS NOT NULL AND
+  regexp_matches(host, '(^|\.)({"|".join(LISTED_LABELS)})\.')) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN f ON c.page_id IS NOT DISTINCT FROM f.page_id AND c.url IS NOT DISTINCT FROM f.url
+"""
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    formatted = chat.windows(rows.unionByName(extra))
+    return chat.digests(chat.read_back(formatted)).withColumnRenamed("conv", "conv_id")
+
+
+_STRIDE = (chat.BUDGET - chat.HISTORY - chat.RESERVE) // 2
+_ESCAPED = "replace(replace(replace(replace({}, '\\', '\\\\'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>')"
+OP6_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (
+  SELECT *, length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {len(chat.OPEN + chat.CLOSE + chat.END)} AS chars,
+    CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tokens FROM c),
+b AS (
+  SELECT *, coalesce(sum(tokens) OVER o, 0) AS before, count(*) OVER o AS pos FROM t
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, before // {_STRIDE} AS span, pos = 0 AND role = 'system' AS system FROM b),
+f AS (SELECT conv_id, span, min(before) AS first FROM s GROUP BY conv_id, span),
+extra AS (
+  SELECT s.conv_id, s.chars FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.span + 1 = f.span AND f.first - s.before <= {chat.HISTORY} WHERE NOT s.system
+  UNION ALL SELECT s.conv_id, s.chars FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.span > 0 WHERE s.system),
+x AS (SELECT conv_id, sum(chars) AS chars FROM extra GROUP BY conv_id)
+SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(s.chars) + coalesce(any_value(x.chars), 0) AS BIGINT) AS formatted_chars
+FROM s LEFT JOIN x ON s.conv_id IS NOT DISTINCT FROM x.conv_id GROUP BY s.conv_id
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -75,11 +160,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_neighbours": op2_neighbours,
     "op3_simhash": op3_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op6_chat": op6_chat,
     "op7_decontamination": op7_decontamination,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mix": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op9_mix": OP9_SQL}
