@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, pii, simhash, urlfilter, warc
+from . import ann, chat, decontam, langid, mixing, pii, simhash, substring, urlfilter, warc
 from .common import materialize, new_path, read
 
 
@@ -36,6 +36,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.factors(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return got.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Stand-in for a published URL list: the pages of hosts with one of these labels.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -163,6 +169,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_neighbours": op2_neighbours,
     "op3_simhash": op3_simhash,
+    "op4_substring": op4_substring,
     "op5_url_filter": op5_url_filter,
     "op6_chat": op6_chat,
     "op7_decontamination": op7_decontamination,
