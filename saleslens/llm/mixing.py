@@ -55,13 +55,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.when(F.col("fits").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("fits"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None,
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, size: Column | None = None,
         weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """``df`` with size, source_size, target (its source's) and taken (words the mix takes of it, repeats counted)."""
+    """``df`` with size, source_size, target (its source's) and taken (words the mix takes of it, repeats counted).  ``size`` replaces
+    the number of words of ``text``, so that texts needn't pass through what was joined before."""
     outs = ("size", "source_size", "target", "taken")
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outs]
     key = exponential_key(F.col(f"`{id_col}`"), F.lit(1.0) if quality is None else quality, seed)
-    rows = df.select(*kept, n_words(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("__source"), key.alias("__key"))
+    rows = df.select(*kept, (n_words(F.col(f"`{text}`")) if size is None else size.cast("long")).alias("size"), F.col(f"`{source}`").alias("__source"), key.alias("__key"))
     rows = rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"), F.lit(BUCKETS - 1)))
 
     sums = materialize(rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("size").alias("size")), "mix-buckets")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, mixing, pii, simhash, substring, urlfilter, warc
-from .common import materialize, new_path, read
+from .common import materialize, n_words, new_path, read
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +122,16 @@ GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
 
 
 def labelled_quality(docs: DataFrame, labels: DataFrame, out: str = "quality") -> DataFrame:
-    """``docs`` with the sampling quality of each; of repeated labels the best counts."""
+    """``docs`` with the sampling quality of each; of repeated labels the best counts.  Labels grow with the corpus: never broadcast."""
     best = labels.groupBy("doc_id").agg(F.max("quality").alias("__label"))
     value = F.when(F.col("__label") == 1, GOOD).when(F.col("__label") == 0, BAD).otherwise(UNKNOWN)
-    return docs.join(best, "doc_id", "left").withColumn(out, value).drop("__label")
+    return docs.join(best.hint("merge"), "doc_id", "left").withColumn(out, value).drop("__label")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = labelled_quality(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), read(spark, sf_dir, "labels"), "__quality")
-    return mixing.mix(docs, quality=F.col("__quality")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("__size"))
+    docs = labelled_quality(docs, read(spark, sf_dir, "labels"), "__quality")
+    return mixing.mix(docs, quality=F.col("__quality"), size=F.col("__size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = f"""
