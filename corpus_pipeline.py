@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.llm import decontam, langid, mixing, pii, simhash
-from saleslens.llm.common import materialize, read
+from saleslens.llm.common import materialize, n_words, read
 from saleslens.llm.queries import PII_KEY, labelled_quality
 
 
@@ -38,8 +38,9 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the words that the mix takes of each; those it doesn't take go."""
-    with_quality = labelled_quality(docs, read(spark, sf_dir, "labels"), "__quality")
-    return mixing.mix(with_quality, quality=F.col("__quality")).where("taken > 0").drop("__quality")
+    sized = docs.withColumn("__size", n_words(F.col("text")))
+    with_quality = labelled_quality(sized, read(spark, sf_dir, "labels"), "__quality")
+    return mixing.mix(with_quality, quality=F.col("__quality"), size=F.col("__size")).where("taken > 0").drop("__quality", "__size")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pseudonymize", pseudonymize), ("mix", mix)]
