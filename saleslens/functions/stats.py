@@ -69,3 +69,8 @@ def dashboard_metrics(actual: Column, predicted: Column) -> list[Column]:
 def coverage(actual: Column, low: Column, high: Column) -> Column:
     """Percent of actual values inside [low, high]."""
     return share(actual.between(low, high)) * 100
+
+
+def pearson(a: str, b: str) -> Column:
+    """Correlation aggregate; null if a column doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -121,7 +121,7 @@ def oil_correlation(df: DataFrame, rows: int = 30) -> DataFrame:
     """One row: correlation of daily totals and price, mean and deviation of the rolling correlation."""
     w = Window.partitionBy(F.lit(1)).orderBy("date")
     daily = _daily_with_price(df).withColumn("__r", rolling_corr("sales", "dcoilwtico", rows, w))
-    return daily.agg(F.corr("sales", "dcoilwtico").alias("overall_corr"), F.avg("__r").alias("rolling_corr_mean"), F.stddev_samp("__r").alias("rolling_corr_std"))
+    return daily.agg(stats.pearson("sales", "dcoilwtico").alias("overall_corr"), F.avg("__r").alias("rolling_corr_mean"), F.stddev_samp("__r").alias("rolling_corr_std"))
 
 
 def rolling_oil_correlation(df: DataFrame, rows: int = 30) -> DataFrame:
@@ -129,7 +129,7 @@ def rolling_oil_correlation(df: DataFrame, rows: int = 30) -> DataFrame:
 
 
 def oil_correlation_by_family(df: DataFrame) -> DataFrame:
-    return _daily_with_price(df, "family").groupBy("family").agg(F.corr("sales", "dcoilwtico").alias("oil_correlation")).orderBy("oil_correlation")
+    return _daily_with_price(df, "family").groupBy("family").agg(stats.pearson("sales", "dcoilwtico").alias("oil_correlation")).orderBy("oil_correlation")
 
 
 def analyze_holiday_effect(df: DataFrame) -> DataFrame:

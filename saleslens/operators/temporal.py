@@ -158,6 +158,6 @@ def event_distances(dates: DataFrame, is_event: Column, order: str = "date", cap
 
 
 def rolling_corr(a: str, b: str, rows: int, window) -> Column:
-    """Pearson correlation of the last ``rows`` rows; null unless the frame is full."""
+    """Pearson correlation of the last ``rows`` rows; null unless the frame is full and both columns vary in it."""
     w = window.rowsBetween(1 - rows, 0)
-    return F.when(F.count("*").over(w) == rows, F.corr(a, b).over(w))
+    return F.when(F.count("*").over(w) == rows, F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))

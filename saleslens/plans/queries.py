@@ -207,12 +207,12 @@ _OIL_ROLL = [(n, s, f) for n in (7, 14, 28) for s, f in (("mean", "avg"), ("std"
 
 @query("SELECT date, " + ", ".join(f"lag(dcoilwtico, {k}) OVER o AS oil_lag_{k}" for k in (1, 7, 14, 28)) + ", "
        + ", ".join(f"round(dcoilwtico / nullif(lag(dcoilwtico, {k}) OVER o, 0) - 1, 6) AS oil_change_{k}d" for k in (1, 7, 28)) + ", "
-       + ", ".join(f"round({f}(dcoilwtico) OVER (o ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 2) AS oil_rolling_{s}_{n}" for n, s, f in _OIL_ROLL)
+       + ", ".join(f"round({f}(dcoilwtico) OVER (o ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 4) AS oil_rolling_{s}_{n}" for n, s, f in _OIL_ROLL)
        + """, round((dcoilwtico - avg(dcoilwtico) OVER (o ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)) / (stddev_samp(dcoilwtico) OVER (o ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) + 1), 5) AS oil_deviation_28d
   FROM filled WINDOW o AS (ORDER BY date)""", "filled")
 def oil_features(spark, sf):
     dates = panel.filled_prices(dp.facts(spark, sf), dp.prices(spark, sf))
-    digits = {f"oil_change_{k}d": 6 for k in (1, 7, 28)} | {f"oil_rolling_{s}_{n}": 2 for n, s, _ in _OIL_ROLL} | {"oil_deviation_28d": 5}
+    digits = {f"oil_change_{k}d": 6 for k in (1, 7, 28)} | {f"oil_rolling_{s}_{n}": 4 for n, s, _ in _OIL_ROLL} | {"oil_deviation_28d": 5}
     return features.oil_features(dates).select("date", *_OIL, *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
@@ -321,7 +321,7 @@ def promo_lift(spark, sf):
 
 
 _DAILY = "(SELECT date, sum(sales) AS s, max(dcoilwtico) AS o FROM master GROUP BY date HAVING max(dcoilwtico) IS NOT NULL)"
-_CORR30 = f"(SELECT date, s, o, CASE WHEN count(*) OVER x = 30 THEN corr(s, o) OVER x END AS c FROM {_DAILY} WINDOW x AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"
+_CORR30 = f"(SELECT date, s, o, CASE WHEN count(*) OVER x = 30 THEN nullif(corr(s, o) OVER x, 'NaN'::DOUBLE) END AS c FROM {_DAILY} WINDOW x AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"
 
 
 @query(f"SELECT round(corr(s, o), 6) AS overall_corr, round(avg(c), 6) AS rolling_corr_mean, round(stddev_samp(c), 6) AS rolling_corr_std FROM {_CORR30}", "master")
@@ -490,7 +490,7 @@ def independent_base(spark, sf) -> DataFrame:
 def _mint_sql(ols: bool) -> str:
     n_s, n_f = "ns", "nf"
     c = ("1.0", "1.0", "1.0", f"(1.0 + {n_s}) * (1 + {n_f})", f"(1.0 + {n_f})", f"(1.0 + {n_s})") if ols else (f"1.0 / {n_f}", f"1.0 / {n_s}", f"1.0 / ({n_s} * {n_f})", "4.0", "2.0", "2.0")
-    return f"""SELECT date, store_nbr, family, round(m / e0 + (ms - m) / es + (mf - m) / ef + (z - ms - mf + m), 4) AS reconciled FROM (
+    return f"""SELECT date, store_nbr, family, round(m / e0 + (ms - m) / es + (mf - m) / ef + (z - ms - mf + m), {4 if ols else 6}) AS reconciled FROM (
       SELECT *, avg(z) OVER (PARTITION BY date) AS m, avg(z) OVER (PARTITION BY date, store_nbr) AS ms, avg(z) OVER (PARTITION BY date, family) AS mf FROM (
         SELECT *, base_bottom + {c[0]} * base_store + {c[1]} * base_family + {c[2]} * base_total AS z, {c[3]} AS e0, {c[4]} AS es, {c[5]} AS ef
         FROM grid JOIN (SELECT date AS dd, count(DISTINCT store_nbr) AS ns, count(DISTINCT family) AS nf FROM grid GROUP BY date) ON dd = date))"""
@@ -503,10 +503,10 @@ def mintrace_ols(spark, sf):
 
 @query(_mint_sql(False), "grid")
 def mintrace_wls(spark, sf):
-    return rounded(hierarchy.reconcile_min_trace(independent_base(spark, sf), "wls_struct").select(*KEY, "reconciled"), 4)
+    return rounded(hierarchy.reconcile_min_trace(independent_base(spark, sf), "wls_struct").select(*KEY, "reconciled"), 6)
 
 
-@query("SELECT true AS is_coherent, 0.0 AS max_store_diff, 0.0 AS max_family_diff, 0.0 AS max_bottom_diff")
+@query("SELECT true AS is_coherent, 0e0 AS max_store_diff, 0e0 AS max_family_diff, 0e0 AS max_bottom_diff")
 def coherence(spark, sf):
     rows = hierarchy.reconcile_forecasts(forecasts(spark, sf))
     return rounded(hierarchy.evaluate_coherence(rows, "pred_MinTrace_ols"), 3)
@@ -540,8 +540,8 @@ def overview(spark, sf):
     return rounded(business.overview(rows))
 
 
-@query(f"""SELECT family, round(sum(pred), 6) AS baseline, round(sum(pred) * {1 + (business.AVERAGE_ELASTICITY - 1) * 0.5!r}, 4) AS simulated, round(sum(pred) * {(business.AVERAGE_ELASTICITY - 1) * 0.5!r}, 4) AS delta,
-  round(CASE WHEN sum(pred) = 0 THEN 0 ELSE {(business.AVERAGE_ELASTICITY - 1) * 50!r} END, 4) AS delta_pct FROM oof GROUP BY family""", "oof")
+@query(f"""SELECT family, round(sum(pred), 6) AS baseline, round(sum(pred) * {1 + (business.AVERAGE_ELASTICITY - 1) * 0.5!r}::DOUBLE, 4) AS simulated, round(sum(pred) * {(business.AVERAGE_ELASTICITY - 1) * 0.5!r}::DOUBLE, 4) AS delta,
+  round(CASE WHEN sum(pred) = 0 THEN 0e0 ELSE {(business.AVERAGE_ELASTICITY - 1) * 50!r}::DOUBLE END, 4) AS delta_pct FROM oof GROUP BY family""", "oof")
 def what_if(spark, sf):
     out = business.what_if_totals(business.what_if(with_interval(forecasts(spark, sf)), 0.5), "family")
     return rounded(out, 4)
