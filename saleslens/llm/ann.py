@@ -7,8 +7,9 @@ within a ratio of the nearest distance, and scans their lists exactly in double
 sample for a wanted recall.
 
 Inner products are searched as distances: a vector x becomes (x, sqrt(M^2 - |x|^2)), M the largest norm, a query (q M / |q|, 0).
-Equal vectors are one class in the index (with as many smallest ids as an answer can need), so copies fill no list; lists and
-their queries are dealt out in shards of bounded size.
+Equal vectors are one class in the index (with as many smallest ids as an answer can need), so copies fill no list.  Neighbouring lists
+form groups: a vector is sent once to each group that has a list of it, and a group keeps a query's best only; groups and their queries are
+dealt out in shards of bounded size.
 
 Defined cases: vectors that are null, zero, of another than the most frequent dimension, or hold null or non-finite components take no part, nor do null
 ids; repeated rows of one id and vector count once; rows with the query's own id are never its neighbours; fewer candidates than ``k`` are all
@@ -32,8 +33,8 @@ REPLICAS, BOUNDARY = 4, 1.1
 BEAM, DEGREE = 32, 24
 #: Recall that the number of lists and the distance ratio of queries are tuned for on the sample, and lists read at least.
 RECALL, LEAST_LISTS = 0.96, 4
-#: Rows of a list, and queries of it, that meet in one task.
-SHARD = 2048
+#: Neighbouring lists that are scanned together, and rows of such a group, and queries of it, that meet in one call.
+GROUP, SHARD = 64, 16384
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -133,6 +134,27 @@ def choose_lists(ids: np.ndarray, d: np.ndarray, most: int, ratio: float, least:
     return [i[m] for i, m in zip(ids, keep, strict=True)]
 
 
+def group_lists(c: np.ndarray, most: int = GROUP) -> np.ndarray:
+    """Group of every centroid: halved along the axis of largest spread until a part has at most ``most``."""
+    out, n, parts = np.zeros(len(c), dtype=np.int32), 0, [np.arange(len(c))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= most:
+            out[part] = n
+            n += 1
+            continue
+        x = c[part] - c[part].mean(axis=0)
+        order = np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
+        parts += [part[order[:len(part) // 2]], part[order[len(part) // 2:]]]
+    return out
+
+
+def by_group(names: pd.Series, lists: list[np.ndarray], groups: np.ndarray) -> pd.DataFrame:
+    """(c, g, lists): a row per vector and group."""
+    rows = [(name, int(g), own[groups[own] == g]) for name, own in zip(names, lists, strict=True) for g in np.unique(groups[own])]
+    return pd.DataFrame(rows, columns=["c", "g", "lists"])
+
+
 def tune(points: np.ndarray, top: float, index: tuple, k: int, recall: float, queries: int = 256) -> tuple[int, float]:
     """(lists, ratio) with which sampled queries find ``recall`` of their true neighbours in the sample; neighbours are nearer in the
     whole table, so this errs on the safe side."""
@@ -190,39 +212,40 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     centroids = fit_centroids(points, max(1, min(MAX_LISTS, stats.n // list_size, len(points))))
     graph = (centroids, link_centroids(centroids), entry_points(centroids))
     probes, ratio = tune(points, stats.top, graph, k, recall)
-    index = spark.sparkContext.broadcast((*graph, float(stats.top)))
+    index = spark.sparkContext.broadcast((*graph, group_lists(centroids), float(stats.top)))
 
     def listed(batches):
-        c, links, entry, top = index.value
+        c, links, entry, groups, top = index.value
         for pdf in batches:
             if len(pdf):
                 ids, d = search_graph(lift(_matrix(pdf["v"]), top), c, links, entry, BEAM)
-                yield pd.DataFrame({"c": pdf["c"], "lists": choose_lists(ids, d, REPLICAS, BOUNDARY)})
+                yield by_group(pdf["c"], choose_lists(ids, d, REPLICAS, BOUNDARY), groups)
 
     def probed(batches):
-        c, links, entry, top = index.value
+        c, links, entry, groups, top = index.value
         for pdf in batches:
             if len(pdf):
                 q = _matrix(pdf["v"])
                 q = np.hstack([q * (top / np.sqrt((q * q).sum(axis=1, keepdims=True))), np.zeros((len(q), 1))])
                 ids, d = search_graph(q, c, links, entry, probes + BEAM)
                 least = min(LEAST_LISTS, len(c))
-                yield pd.DataFrame({"c": pdf["c"], "lists": choose_lists(ids, d, max(probes, least), ratio, least)})
+                yield by_group(pdf["c"], choose_lists(ids, d, max(probes, least), ratio, least), groups)
 
     vecs = classes.select("c", "v")
     asked = vecs.join(queries.select("c").distinct(), "c", "left_semi")
-    kept = "c long, lists array<int>"
-    postings = materialize(vecs.repartition("c").mapInPandas(listed, kept).select("c", F.explode("lists").alias("list")), "ann-postings")
-    wanted = materialize(asked.repartition("c").mapInPandas(probed, kept).select("c", F.explode("lists").alias("list")), "ann-probes")
+    kept = "c long, g int, lists array<int>"
+    postings = materialize(vecs.repartition("c").mapInPandas(listed, kept), "ann-postings")
+    wanted = materialize(asked.repartition("c").mapInPandas(probed, kept), "ann-probes")
 
-    # At most MAX_LISTS * 2 rows: shards of each list and of its queries.
-    shards = (postings.groupBy("list").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("vs"))
-              .join(wanted.groupBy("list").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("qs")), "list"))
+    # At most MAX_LISTS rows: shards of each group and of its queries.
+    shards = (postings.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("vs"))
+              .join(wanted.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("qs")), "g"))
     shards = F.broadcast(materialize(shards, "ann-shards"))
+    by = ["g", "vs", "qs"]
 
     def dealt(x: DataFrame, own: str, other: str) -> DataFrame:
-        return (x.join(shards, "list").withColumn(own, F.pmod(F.xxhash64("c"), F.col(own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).join(vecs, "c").select(*[F.col(x).alias(x) for x in ("list", "vs", "qs", "c", "v")]))
+        return (x.join(shards, "g").withColumn(own, F.pmod(F.xxhash64("c"), F.col(own)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).join(vecs, "c").select(*[F.col(n).alias(n) for n in (*by, "c", "lists", "v")]))
 
     keep = k + 1
 
@@ -230,15 +253,18 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         if not len(v) or not len(q):
             return pd.DataFrame({"q": [], "c": [], "score": []})
         mv, mq, names = _matrix(v["v"]), _matrix(q["v"]), v["c"].to_numpy()
-        rough = mq @ mv.T
-        some = min(len(mv), keep + 11)
-        best = np.argpartition(-rough, some - 1, axis=1)[:, :some]
-        at = np.repeat(np.arange(len(mq)), some)
-        score = np.einsum("ij,ij->i", mq[at], mv[best.ravel()])
-        out = pd.DataFrame({"q": q["c"].to_numpy()[at], "c": names[best.ravel()], "score": score})
+        of_v, of_q = (pd.Series(np.repeat(np.arange(len(x)), x["lists"].map(len))).groupby(np.concatenate(list(x["lists"]))).apply(np.array) for x in (v, q))
+        pairs = []
+        for one in of_v.index.intersection(of_q.index):
+            at_v, at_q = of_v[one], of_q[one]
+            some = min(len(at_v), keep + 11)
+            best = np.argpartition(-(mq[at_q] @ mv[at_v].T), some - 1, axis=1)[:, :some]
+            pairs.append(np.repeat(at_q, some) * len(mv) + at_v[best.ravel()])
+        at_q, at_v = np.divmod(np.unique(np.concatenate([*pairs, np.array([], dtype=np.int64)])).astype(np.int64), len(mv))
+        score = np.concatenate([np.einsum("ij,ij->i", mq[at_q[i:i + 65536]], mv[at_v[i:i + 65536]]) for i in range(0, len(at_q), 65536)] or [np.array([])])
+        out = pd.DataFrame({"q": q["c"].to_numpy()[at_q], "c": names[at_v], "score": score})
         return out.sort_values(["q", "score", "c"], ascending=[True, False, True]).groupby("q", sort=False).head(keep)
 
-    by = ["list", "vs", "qs"]
     found = dealt(postings, "vs", "qs").groupBy(*by).cogroup(dealt(wanted, "qs", "vs").groupBy(*by)).applyInPandas(scan, "q long, c long, score double")
     found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
