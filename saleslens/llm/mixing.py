@@ -74,7 +74,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
             .where(F.col("upto") > F.col("rest")).groupBy(F.col("p.source").alias("source"))
             .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("end")))
     plan = materialize(plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-                       .select(F.col("p.source").alias("__s"), "source_size", "target", "epochs", "rest", F.col("end.bucket").alias("__end"), F.col("end.before").alias("__before")), "mix-plan")
+                       .select(F.col("p.source").alias("__s"), "source_size", "target", F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("end.bucket").alias("__end"), F.col("end.before").alias("__before")), "mix-plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")))
@@ -82,5 +82,5 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     whole = rows.where("__end is null or __bucket != __end").withColumn("__in", F.col("__end").isNull() | (F.col("__bucket") < F.col("__end")))
     order = Window.partitionBy("__source").orderBy("__key", f"`{id_col}`", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.col("__before") + F.sum("size").over(order) - F.col("size") / 2
-    last = rows.where("__bucket = __end").withColumn("__in", middle <= F.col("rest"))
-    return whole.unionByName(last).select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("__in").cast("long"))).alias("taken"))
+    last = rows.where("__bucket = __end").withColumn("__in", middle <= F.col("__rest"))
+    return whole.unionByName(last).select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("__epochs") + F.col("__in").cast("long"))).alias("taken"))

@@ -81,10 +81,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "ur
     rows = rows.withColumn("__block", F.pmod(F.xxhash64("__canonical"), F.lit(blocks)))
     passed = F.lit(True)
     for i, b in enumerate(_bits(F.col("__canonical"))):
-        passed = passed & (F.col(f"w{i}").bitwiseAND(b) == b)
-    rows = rows.join(F.broadcast(table), F.col("__canonical").isNotNull() & (F.col("__block") == F.col("block")), "left")
-    rows = rows.withColumn("__maybe", F.coalesce(passed & F.col("block").isNotNull() & F.col("__canonical").isNotNull(), F.lit(False)))
+        passed = passed & (F.col(f"__in_w{i}").bitwiseAND(b) == b)
+    rows = rows.join(F.broadcast(table.select(*[F.col(c).alias(f"__in_{c}") for c in table.columns])), F.col("__canonical").isNotNull() & (F.col("__block") == F.col("__in_block")), "left")
+    rows = rows.withColumn("__maybe", F.coalesce(passed & F.col("__in_block").isNotNull() & F.col("__canonical").isNotNull(), F.lit(False)))
     outs_now = [F.col(c) for c in ("host", "path", "rule")]
     clear = rows.where("not __maybe").select(*kept, *outs_now, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    exact = rows.where("__maybe").join(urls.withColumn("__listed", F.lit(True)), F.col("__canonical") == F.col("canonical"), "left")
+    exact = rows.where("__maybe").join(urls.select(F.col("canonical").alias("__entry"), F.lit(True).alias("__listed")), F.col("__canonical") == F.col("__entry"), "left")
     return clear.unionByName(exact.select(*kept, *outs_now, F.when(F.col("__listed"), "block").otherwise("allow").alias("verdict")))

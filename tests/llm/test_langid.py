@@ -11,7 +11,7 @@ def test_held_out_accuracy(spark, sf_dir):
     rows = got.join(truth, "doc_id").collect()
     assert len(rows) == truth.count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
-    known = [r for r in rows if r.held_out and r.lang is not None and r.lang_pred != "und"]
+    known = [r for r in rows if r.held_out and r.lang is not None and not r.rejected]
     assert known and sum(r.lang == r.lang_pred for r in known) >= 0.95 * len(known)
 
 

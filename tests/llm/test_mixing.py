@@ -24,7 +24,7 @@ def test_targets_and_caps(spark):
 
 def test_defined_cases(spark):
     rows = [(1, "a", None, None), (2, "a", "", 1), (3, "a", "x y", -1), (3, "a", "x y", 0), (None, None, "z", 2), (4, None, None, 2), (5, "", "p q r", None)]
-    df = spark.createDataFrame([(*r, "t", 0) for r in rows], "doc_id long, source string, text string, q long, Taken string, target int")
+    df = spark.createDataFrame([(*r, "t", 0, 1, 2, 3, 4) for r in rows], "doc_id long, source string, text string, q long, Taken string, target int, epochs int, Rest int, bucket int, size int")
     got = mixing.mix(df, quality=F.col("q").cast("double")).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
     assert {(r.doc_id, r.taken) for r in got if r.size == 0} == {(1, 0), (2, 0), (4, 0)}
