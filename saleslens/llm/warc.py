@@ -71,8 +71,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url"
     total = heads.agg(F.sum(F.col("n") + 1024)).first()[0] or 0
     files = max(1, -(-total // file_bytes))
     decisions = materialize(decide(heads, min_bytes), "warc-decisions")
-    p, d = rows.repartition(files, "id", "digest").alias("p"), decisions.repartition(files, "id", "digest").alias("d")
-    all_rows = p.join(d, F.col("p.id").eqNullSafe(F.col("d.id")) & (F.col("p.digest") == F.col("d.digest"))).select("p.*", "d.refers_to", "d.refers_uri")
+    # One plain key, so that the join takes both sides as they are dealt out: payloads are shuffled once.
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("none")), F.col("digest")).alias("key")
+    p, d = rows.select("*", key).repartition(files, "key"), decisions.select(key, "refers_to", "refers_uri").repartition(files, "key")
+    all_rows = p.join(d, "key")
 
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
