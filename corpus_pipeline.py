@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import decontam, langid, mixing, pii, simhash
+from saleslens.llm import decontam, langid, mixing, neardup, pii
 from saleslens.llm.common import materialize, n_words, read
 from saleslens.llm.queries import PII_KEY, labelled_quality
 
@@ -19,9 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component of near copies (five-word shingles, Jaccard similarity 0.8 or more): that with the smallest doc_id."""
+    return neardup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
