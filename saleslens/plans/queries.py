@@ -561,11 +561,9 @@ def interval_coverage(spark, sf):
 # Models that SQL can't express
 
 def _model_rows(spark, sf) -> DataFrame:
-    """Features of the last year, which trees are fitted on."""
+    """Features of the whole panel, which the folds' expanding windows cut."""
     rows = features.add_calendar_features(dp.panel(spark, sf))
-    rows = features.add_promotion_features(features.add_rolling_features(features.add_lag_features(rows, lags=(1, 7, 14)), windows=(7, 28)))
-    last = dp.facts(spark, sf).agg(F.max("date").alias("d")).first()["d"]
-    return rows.where(F.col("date") > F.date_sub(F.lit(last), 365))
+    return features.add_promotion_features(features.add_rolling_features(features.add_lag_features(rows, lags=(1, 7, 14)), windows=(7, 28)))
 
 
 _MODEL_FEATURES = ["dayofweek", "month", "day", "is_weekend", "store_nbr", "onpromotion", "has_promo", "sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_rolling_mean_7", "sales_rolling_mean_28", "promo_lag_7"]
@@ -576,7 +574,7 @@ def _cv(spark, sf):
     last = rows.agg(F.max("date").alias("d")).first()["d"]
     day = models.timedelta(days=1)
     folds = [models.Fold(f"Fold {i}", None, last - 15 * k * day, last - (15 * k - 1) * day, last - 15 * (k - 1) * day) for i, k in ((1, 2), (2, 1))]
-    return models.run_cv(rows, folds, features=_MODEL_FEATURES, params=models.gbt_params(maxIter=8, maxDepth=4))
+    return models.run_cv(rows, folds, features=_MODEL_FEATURES)
 
 
 @query()
