@@ -10,6 +10,7 @@ check digits recomputed), ``phone`` (digits after the country code), ``ssn`` (al
 tokens of 16 or more).  Separators and letter case stay.
 
 Defined cases: a null text stays null with count 0; an empty text stays empty; invalid candidates stay as they are.
+A run of digits is searched for cards in usual groups at every separator; only if none is valid, its longest beginning counts as one.
 """
 
 from __future__ import annotations
@@ -29,11 +30,20 @@ DAYS, DAYS_A, DAYS_B = 146_097, 189, 773
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE = r"(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Lengths of account numbers by country, as registered; other letters may have any length.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH CR HR LI LV",
+                22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+                31: "MT SC", 32: "LC", 33: "RU"}
+_IBANS = "|".join(f"(?:{'|'.join(c.split())})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 SECRET = r"(?<![A-Za-z0-9])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{16,}(?![A-Za-z0-9])"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
+#: A run of digits that may hold cards among other numbers (label, expiry, security code); it ends before values of other kinds.
+CARD = rf"(?<![\d-])\d(?:(?![ -](?:{DATE}|{IP}|{SSN}|\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])))[ -]?\d){{12,400}}(?![\d-])"
+#: Digits in the groups of a card, the likelier first; besides, 13 to 19 digits without separators.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (8, 8), (4, 3, 3, 3), (4, 4, 4, 1))
 PATTERN = "|".join((EMAIL, DATE, IP, IBAN, PHONE, SSN, SECRET, CARD))
 
 
@@ -164,11 +174,50 @@ def pseudonym(m: Column, key: str) -> Column:
     payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
     new_payload = permute_symbols(payload, 10, key, F.lit("card"))
     new_check = F.pmod(-luhn_sum(new_payload, 1), F.lit(10)).cast("string")
-    card = F.when(luhn_sum(digits, 0) % 10 == 0, refill(m, "0-9", F.concat(new_payload, new_check)))
+    card = F.when(F.length(digits).between(13, 19) & (luhn_sum(digits, 0) % 10 == 0), refill(m, "0-9", F.concat(new_payload, new_check)))
     return (F.when(m.contains("@"), email).when(m.rlike(_whole(DATE)), date).when(m.rlike(_whole(IP)), ip).when(m.rlike(_whole(IBAN)), iban)
             .when(m.rlike(_whole(PHONE)), phone).when(m.rlike(_whole(SSN)), ssn).when(m.rlike(_whole(SECRET)), secret).when(m.rlike(_whole(CARD)), card))
 
 
+def card_pieces(run: Column) -> Column:
+    """The pieces of a run of digits, in order: valid cards in usual groups, and what lies between.  Without any, the longest
+    beginning of at most 19 digits and the rest."""
+    found = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+    return F.when(F.size(found) == 1, F.array(run)).otherwise(_once(found, lambda parts: _once(F.transform(parts, lambda p: F.length(only(p, "0-9"))), lambda sizes: _pieces(parts, sizes))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _pieces(parts: Column, sizes: Column) -> Column:
+    none = F.array().cast("array<string>")
+
+    def text(i: Column, n: Column) -> Column:
+        return F.array_join(F.slice(parts, i, n), "")
+
+    def valid(i: Column, n: int) -> Column:
+        return luhn_sum(only(text(i, F.lit(n)), "0-9"), 0) % 10 == 0
+
+    def groups(i: Column) -> Column:
+        usual = [F.when((F.slice(sizes, i, len(g)) == F.array(*map(F.lit, g))) & valid(i, len(g)), len(g)) for g in CARD_GROUPS]
+        return F.coalesce(F.when(F.get(sizes, i - 1).between(13, 19) & valid(i, 1), 1), *usual, F.lit(0))
+
+    def step(s: Column, i: Column) -> Column:
+        def take(n: Column) -> Column:
+            piece = text(i, F.greatest(n, F.lit(1)))
+            new = F.when(n > 0, F.array(F.regexp_extract(piece, "^[ -]?", 0), F.regexp_replace(piece, "^[ -]", ""))).otherwise(F.array(piece))
+            return F.struct(F.concat(s["out"], new).alias("out"), (i + F.greatest(n, F.lit(1))).alias("next"), (s["cards"] + F.when(n > 0, 1).otherwise(0)).alias("cards"))
+
+        return F.when(i < s["next"], s).otherwise(F.aggregate(F.array(groups(i)), s, lambda _, n: take(n)))
+
+    start = F.struct(none.alias("out"), F.lit(1).alias("next"), F.lit(0).alias("cards"))
+    scanned = F.aggregate(F.sequence(F.lit(1), F.size(parts)), start, step, lambda s: F.when(s["cards"] > 0, s["out"]))
+    fits = F.size(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda a, x: a + x) <= 19))
+    return F.coalesce(scanned, F.array(text(F.lit(1), fits), F.array_join(F.slice(parts, fits + 1, F.size(parts)), "")))
+
+
 def pseudonymize(df: DataFrame, key: str, text: str = "text", out: str = "text", count: str = "n_pseudonyms") -> DataFrame:
     """``df`` with the pseudonymized text in ``out`` and the number of replaced values in ``count`` (columns of these names are
     replaced).  The expression is scanned for only in texts that hold a digit or an @."""
@@ -177,9 +226,12 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", out: str = "text",
     source = F.col(f"`{text}`")
     found = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
     rows = df.select(*kept, source.alias("__text"), found.alias("__found"))
+    # A candidate is one piece, or several if it is a run of digits.
+    pieces = F.transform("__found", lambda m: F.when(m.rlike(_whole(CARD)), card_pieces(m)).otherwise(F.array(m)))
+    rows = rows.select(*kept, "__text", F.when(F.size("__found") > 0, pieces).alias("__found"))
     new: Callable[[Column], Column] = lambda m: pseudonym(m, key)
-    rows = rows.select(*kept, "__text", "__found", F.when(F.size("__found") > 0, F.transform("__found", new)).alias("__new"))
-    # Gaps and matches alternate; a match that isn't valid is put back as it was.
-    put = F.zip_with("__new", "__found", lambda n, m: F.coalesce(n, m))
+    rows = rows.select(*kept, "__text", "__found", F.transform("__found", lambda ps: F.transform(ps, new)).alias("__new"))
+    # Gaps and matches alternate; a piece that isn't valid is put back as it was.
+    put = F.zip_with("__new", "__found", lambda ns, ps: F.array_join(F.zip_with(ns, ps, lambda n, p: F.coalesce(n, p)), ""))
     text_new = F.when(F.size("__found") > 0, F.array_join(F.zip_with(F.split("__text", PATTERN, -1), put, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")).otherwise(F.col("__text"))
-    return rows.select(*kept, text_new.alias(out), F.coalesce(F.size(F.filter("__new", lambda n: n.isNotNull())), F.lit(0)).alias(count))
+    return rows.select(*kept, text_new.alias(out), F.coalesce(F.size(F.filter(F.flatten("__new"), lambda n: n.isNotNull())), F.lit(0)).alias(count))

@@ -71,3 +71,20 @@ def test_defined_cases(spark):
     got = {r.doc_id: r for r in pii.pseudonymize(df, KEY).collect()}
     assert got[1].n_pseudonyms == 20_000 and got[None].n_pseudonyms == 1
     assert pii.pseudonymize(df.limit(0), KEY).count() == 0
+
+
+def test_values_beside_other_numbers_and_words(spark):
+    cards = ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "4222222222222", "6212345678900000003"]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947", "GB82WEST12345698765432"]
+    by_cards = ["{} 12/27", "{} 123", "42 {}", "7 42 {} 12 123", "1234 {}", "{} 123-45-6789", "{} 12/27/2025", "{} 2021-02-28", "{} 10.0.0.1"]
+    by_ibans = ["{} IN", "{} USD", "{} 2024", "{} AB CD 12"]
+    cases = [(f, v) for fs, vs in ((by_cards, cards), (by_ibans, ibans)) for f in fs for v in vs]
+    both = [f"{cards[0]} {cards[2]} 1234", f"{ibans[1]} {cards[0]}"]
+    got = run(spark, [*cards, *ibans, *by_cards, *(f.format(v) for f, v in cases), *both])
+    alone, got = dict(zip([*cards, *ibans], got, strict=False)), got[len(cards) + len(ibans):]
+    assert all(n == 1 and t != v and (luhn(t) if v in cards else iban(t)) for v, (t, n) in alone.items())
+    rest, got = dict(zip(by_cards, got, strict=False)), got[len(by_cards):]
+    for (f, v), now in zip(cases, got, strict=False):
+        form, n = rest.get(f, (f, 0))
+        assert now == (form.format(alone[v][0]), n + 1), (f, v)
+    assert got[-2:] == [(f"{alone[cards[0]][0]} {alone[cards[2]][0]} 1234", 2), (f"{alone[ibans[1]][0]} {alone[cards[0]][0]}", 2)]
