@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from hashlib import md5
+from datetime import date, timedelta
+from hashlib import md5, sha256
 
+import regex
 import xxhash
 
 GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -114,3 +116,149 @@ def mixed(rows, weights=(5.0, 2.0, 1.0), epochs=3):
             before += r[2]
             out[r[0]] = r[2] * (n + (before - r[2] / 2 <= rest))
     return out
+
+
+# Pseudonyms: Feistel networks and number formats in plain Python; only the candidate formats are those of the operator.
+
+def feistel(values, radices, key, tweak, rounds=10):
+    n, u = len(values), len(values) // 2
+    halves = [list(values[:u]), list(values[u:])]
+    sizes = [radices[:u], radices[u:]]
+    for turn in range(1, rounds + 1):
+        to = turn % 2
+        seen = ",".join(map(str, halves[1 - to]))
+        head = sha256(f"{key}|{tweak}|{n}|{turn}|{seen}".encode()).hexdigest()
+        for i, r in enumerate(sizes[to]):
+            block = sha256(f"{head}{i // 8}".encode()).hexdigest()
+            halves[to][i] = (halves[to][i] + int(block[8 * (i % 8):8 * (i % 8) + 8], 16)) % r
+    return halves[0] + halves[1]
+
+
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return sum(d[0::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]])
+
+
+def card_valid(digits):
+    return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) % 10 == 0
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def fill(shape, new, keep="A-Z0-9"):
+    it = iter(new)
+    return re.sub(f"[{keep}]", lambda _: next(it), shape)
+
+
+def real_date(y, m, d):
+    try:
+        return date(int(y), int(m), int(d)) if int(y) else None
+    except ValueError:
+        return None
+
+
+def pseudonym(m, key, pii):
+    """Of one candidate; None if it isn't valid."""
+    def fits(pattern):
+        return regex.fullmatch(pattern, m, regex.ASCII)
+
+    digits, bare = re.sub(r"[^0-9]", "", m), m.replace(" ", "")
+    if "@" in m:
+        local, rest = m.split("@", 1)
+        radix = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in local]
+        value = [ord(c.lower()) - 97 if c.isalpha() else int(c) if c.isdigit() else 0 for c in local]
+        new = feistel(value, radix, key, "email")
+        return "".join((chr(v + 65) if c.isupper() else chr(v + 97)) if c.isalpha() else str(v) if c.isdigit() else c for c, v in zip(local, new, strict=True)) + "@" + rest
+    if fits(pii.DATE):
+        if m[4] == "-":
+            day, style = real_date(*m.split("-")), "%Y-%m-%d"
+        else:
+            a, b, y = re.split(r"\D", m)
+            day, style = real_date(y, b, a), "%d/%m/%Y"
+            if day is None:
+                day, style = real_date(y, a, b), "%m/%d/%Y"
+            if "." in m:
+                style = "%d.%m.%Y"
+        n = (day - date(1800, 1, 1)).days if day else -1
+        if not 0 <= n < 146_097:
+            return None
+        a, b = feistel([n // 773, n % 773], [189, 773], key, "date")
+        return (date(1800, 1, 1) + timedelta(days=a * 773 + b)).strftime(style)
+    if fits(pii.IP):
+        return ".".join(map(str, feistel([int(x) for x in m.split(".")], [256] * 4, key, "ip")))
+    if fits(pii.IBAN):
+        account = bare[4:]
+        if mod97(account + bare[:4]) != 1:
+            return None
+        number = re.sub("[^0-9]", "", account)
+        new = feistel([int(c) for c in number], [10] * len(number), key, f"iban:{bare[:2]}{re.sub('[^A-Z]', '', account)}")
+        account = fill(account, map(str, new), "0-9")
+        return fill(m, f"{bare[:2]}{98 - mod97(account + bare[:2] + '00'):02d}{account}")
+    if fits(pii.PHONE):
+        plus = m.startswith("+")
+        shown = m.replace("(0)", "(#)")
+        number = re.sub("[^0-9]", "", shown)
+        code = next(regex.match(c, number).group() for c in pii.CODES if regex.match(c, number)) if plus else "1"
+        number = number[len(code):] if plus else number
+        low = [(2 if c >= "2" else 0) if code == "1" and i in (0, 3) else (0 if c == "0" else 1) if i == 0 else 0 for i, c in enumerate(number)]
+        size = [(8 if c >= "2" else 2) if code == "1" and i in (0, 3) else (1 if c == "0" else 9) if i == 0 else 10 for i, c in enumerate(number)]
+        new = feistel([int(c) - a for c, a in zip(number, low, strict=True)], size, key, f"phone:{code}")
+        return fill(shown, (code if plus else "") + "".join(str(v + a) for v, a in zip(new, low, strict=True))).replace("#", "0")
+    if fits(pii.SSN):
+        a, g, s = map(int, m.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        a, g, s = feistel([areas.index(a), g - 1, s - 1], [898, 99, 9999], key, "ssn")
+        return f"{areas[a]:03d}-{g + 1:02d}-{s + 1:04d}"
+    if fits(pii.SECRET):
+        new = "".join(f"{v:x}" for v in feistel([int(c, 16) for c in m], [16] * len(m), key, "secret"))
+        return new.upper() if m == m.upper() else new
+    if fits(pii.CARD) and card_valid(digits):
+        body = digits[:-1]
+        new = feistel([int(body[0]) - 2, *map(int, body[1:])], [5] + [10] * (len(body) - 1), key, "card")
+        new = str(new[0] + 2) + "".join(map(str, new[1:]))
+        return fill(m, new + str(-luhn(new + "0") % 10))
+    return None
+
+
+def pseudonymized(text, key, pii):
+    """(text, number of pseudonyms) of one text."""
+    if text is None:
+        return None, 0
+    made = 0
+
+    def one(piece):
+        nonlocal made
+        new = pseudonym(piece, key, pii)
+        made += new is not None
+        return piece if new is None else new
+
+    def digits_run(run):
+        parts = re.findall(r"[ -]?\d+", run)
+        sizes = [len(p.strip(" -")) for p in parts]
+        out, i, gap = [], 0, ""
+        while i < len(parts):
+            for n in (1, *map(len, pii.CARD_GROUPS)):
+                got = tuple(sizes[i:i + n])
+                if (n == 1 and 13 <= got[0] <= 19 or got in pii.CARD_GROUPS) and card_valid(re.sub(r"\D", "", "".join(parts[i:i + n]))):
+                    card = "".join(parts[i:i + n])
+                    lead = card[0] if card[0] in " -" else ""
+                    out += [gap, lead, card[len(lead):]]
+                    i, gap = i + n, ""
+                    break
+            else:
+                gap += parts[i]
+                i += 1
+        if not out:
+            fit = 0
+            while fit < len(parts) and sum(sizes[:fit + 1]) <= 19:
+                fit += 1
+            out = ["".join(parts[:fit])]
+            gap = "".join(parts[fit:])
+        return "".join(one(p) if p else "" for p in [*out, gap])
+
+    def replaced(m):
+        return digits_run(m.group()) if regex.fullmatch(pii.CARD, m.group(), regex.ASCII) else one(m.group())
+
+    return regex.sub(pii.PATTERN, replaced, text, flags=regex.ASCII), made
