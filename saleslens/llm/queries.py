@@ -109,6 +109,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Any window within the similarity has a run of this many equal tokens (what is equal, dealt out between the substitutions).
+_RUN = "CASE WHEN n >= 13 THEN 4 WHEN n >= 10 THEN 3 WHEN n >= 8 THEN 4 WHEN n >= 6 THEN 3 WHEN n = 5 THEN 2 ELSE n END"
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x != '')"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS kid, item_id, t, len(t) AS n FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark WHERE text IS NOT NULL) WHERE len(t) > 0),
+g AS (SELECT kid, n, {_RUN} AS g, unnest(range(1, n - {_RUN} + 2)) AS j, t FROM b),
+bg AS (SELECT kid, g, j, list_slice(t, j, j + g - 1) AS gram FROM g),
+dg AS (SELECT rid, s.g, i, list_slice(t, i, i + s.g - 1) AS gram FROM (SELECT rid, t, unnest(range(1, len(t) + 1)) AS i FROM d) x JOIN (SELECT DISTINCT g FROM bg) s ON i + s.g - 1 <= len(t)),
+h AS (SELECT DISTINCT rid, kid, i - j AS o FROM dg JOIN bg ON dg.g = bg.g AND dg.gram = bg.gram),
+e AS (
+  SELECT doc_id, item_id, o, least({decontam.WINDOW}, n) AS w, list_transform(range(greatest(1, 1 - o), least(n, len(d.t) - o) + 1), lambda j: CAST(d.t[j + o] = b.t[j] AS INT)) AS eq
+  FROM h JOIN d ON d.rid = h.rid JOIN b ON b.kid = h.kid),
+s AS (
+  SELECT doc_id, item_id, o, list_max(list_transform(range(1, len(eq) - w + 2), lambda x: list_sum(list_slice(eq, x, x + w - 1)))) / w AS similarity FROM e WHERE len(eq) >= w)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(min(greatest(o, 0)) AS INT) AS first_token FROM s WHERE similarity >= {decontam.MIN_SIMILARITY} GROUP BY doc_id, item_id
+"""
+
+
 #: The key of the registered query; a user passes a secret one.
 PII_KEY = "saleslens"
 
@@ -179,4 +198,4 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op9_mix": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL}

@@ -7,6 +7,7 @@ import re
 from datetime import date, timedelta
 from hashlib import md5, sha256
 
+import numpy as np
 import regex
 import xxhash
 
@@ -57,33 +58,27 @@ def tokens(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def contaminated(docs, items, masks, window=13, min_similarity=0.8, min_tokens=9):
-    """{(doc, item)} that share a window around a hit of a mask."""
-    out = set()
-    test = [(i, tokens(t)) for i, t in items]
-    first = {}
-    for i, t in sorted(test, key=lambda x: x[0]):
-        if len(t) >= min_tokens:
-            first.setdefault(tuple(t), i)
-    seeds = {}
-    for t, i in first.items():
-        for m, mask in enumerate(masks):
-            for j in range(len(t) - max(masks[0])):
-                if j + max(mask) < len(t):
-                    seeds.setdefault((m, *[t[j + o] for o in mask]), []).append((t, i, j))
-    for doc, text in docs:
-        d = tokens(text)
-        for at in range(len(d)):
-            for m, mask in enumerate(masks):
-                if at + max(mask) >= len(d):
-                    continue
-                for t, i, j in seeds.get((m, *[d[at + o] for o in mask]), ()):
-                    shift = at - j
-                    lo, hi = max(0, -shift), min(len(t), len(d) - shift)
-                    equal = [d[shift + x] == t[x] for x in range(lo, hi)]
-                    w = min(window, len(t))
-                    if len(equal) >= w and max(sum(equal[s:s + w]) for s in range(len(equal) - w + 1)) / w >= min_similarity:
-                        out.add((doc, i))
+def contaminated(docs, items, window=13, min_similarity=0.8, min_tokens=1):
+    """{(doc, item): (similarity, first token)}: every item laid along every document at every offset."""
+    names = {}
+    coded = [[(i, np.array([names.setdefault(t, len(names)) for t in tokens(text)], dtype=np.int64)) for i, text in rows] for rows in (docs, items)]
+    out = {}
+    for doc, d in coded[0]:
+        for item, t in coded[1]:
+            w = min(window, len(t))
+            if len(t) < max(1, min_tokens) or len(d) < w:
+                continue
+            # A pad on both sides equals nothing; offset o lays the item's first token on the document's token o.
+            pad = np.full(len(t), -1)
+            laid = np.lib.stride_tricks.sliding_window_view(np.r_[pad, d, pad], len(t)) == t
+            run = np.cumsum(np.c_[np.zeros(len(laid), np.int64), laid], axis=1)
+            equal = run[:, w:] - run[:, :-w]
+            at = np.arange(len(laid))[:, None] - len(t) + np.arange(equal.shape[1])
+            equal = np.where((at >= 0) & (at + w <= len(d)), equal, -1).max(axis=1)
+            good = np.flatnonzero(equal / w >= min_similarity)
+            if len(good):
+                was = out.get((doc, item), (0.0, 1 << 60))
+                out[doc, item] = max(was[0], equal[good].max() / w), min(was[1], max(int(good[0]) - len(t), 0))
     return out
 
 
