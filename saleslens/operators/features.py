@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, cyclical_columns, event_columns, fourier_columns
 from ..functions.text import mentions
+from ..sources.staging import stage
 from . import temporal as t
-from .panel import dimension
 
 KEYS = t.KEYS
 
@@ -38,10 +38,11 @@ def lookup(values: dict, key: Column, default) -> Column:
 
 
 def per_date(df: DataFrame, columns: list[str], build) -> DataFrame:
-    """``df`` joined with what ``build`` makes of its distinct (date, columns): some thousand rows instead of all."""
+    """``df`` joined with what ``build`` makes of its distinct (date, columns).  A date has one value of each, so the calendar bounds what
+    is broadcast: some thousand rows instead of all."""
     dates = build(df.select("date", *columns).distinct())
     new = [c for c in dates.columns if c not in df.columns or c in columns and c != "date"]
-    return df.drop(*[c for c in new if c in df.columns]).join(dimension(dates.select("date", *new)), "date", "left")
+    return df.drop(*[c for c in new if c in df.columns]).join(F.broadcast(dates.select("date", *new)), "date", "left")
 
 
 def add_calendar_features(df: DataFrame) -> DataFrame:
@@ -138,25 +139,40 @@ def add_store_family_features(df: DataFrame) -> DataFrame:
 def add_target_encoding(df: DataFrame, target: str = "sales", columns=ENCODED, smoothing: float = 10.0, before: str = "2017-08-01", global_from_train: bool = False) -> DataFrame:
     """``{column}_target_enc``: mean of ``target`` per category, drawn towards the global mean by ``smoothing`` rows.
 
-    Categories are averaged over rows before ``before``; the global mean is over all rows unless ``global_from_train``.
-    One aggregate pass per column, joined back by broadcast while there are few categories.
+    Categories are averaged over rows before ``before``; the global mean is over all rows unless ``global_from_train``.  Null and unseen
+    categories get the global mean.  One pass of grouping sets, staged, gives all means; its measured size decides how they are joined.
     """
-    train = df.where(F.col("date") < F.lit(before).cast("date"))
-    mean = (train if global_from_train else df).agg(F.avg(target)).first()[0]
-    for c in (c for c in columns if c in df.columns):
-        n = F.count(target)
-        codes = train.groupBy(c).agg(((F.sum(target) + F.lit(smoothing * (mean or 0.0))) / (n + F.lit(smoothing))).alias(f"{c}_target_enc")).where(F.col(c).isNotNull())
-        df = df.join(dimension(codes), c, "left").withColumn(f"{c}_target_enc", F.coalesce(f"{c}_target_enc", F.lit(mean).cast("double")))
+    columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df
+    x, early = F.col(target), F.col("date") < F.lit(before).cast("date")
+    sets = [*[[F.col(c)] for c in columns], []]
+    which = F.coalesce(*[F.when(F.grouping(c) == 0, c) for c in columns])
+    sums = df.select(*dict.fromkeys(columns), x.alias("__x"), early.alias("__early")).groupingSets(sets, *map(F.col, columns)).agg(
+        which.alias("__of"), F.sum(F.when(F.col("__early"), F.col("__x"))).alias("__sum"), F.count(F.when(F.col("__early"), F.col("__x"))).alias("__n"),
+        F.avg(F.when(F.col("__early") | F.lit(not global_from_train), F.col("__x"))).alias("__mean"))
+    codes = stage(sums, "target-means")
+    mean = codes.where("__of is null").select("__mean").scalar()
+    for c in columns:
+        own = codes.where((F.col("__of") == c) & F.col(c).isNotNull() & (F.col("__n") > 0))
+        own = own.select(c, ((F.col("__sum") + F.coalesce(mean, F.lit(0.0)) * smoothing) / (F.col("__n") + F.lit(smoothing))).alias("__code"))
+        df = df.join(own, c, "left").withColumn(f"{c}_target_enc", F.coalesce("__code", mean)).drop("__code")
     return df
 
 
 def add_store_family_aggregates(df: DataFrame, target: str = "sales") -> DataFrame:
-    """Totals of the store and of the family on the date, 1 and 7 rows before."""
-    for key, name in (("store_nbr", "store"), ("family", "family")):
-        daily = df.groupBy("date", key).agg(F.sum(target).alias("__total"))
+    """Totals of the store and of the family on the date, 1 and 7 rows before.
+
+    Both come from one pass of grouping sets, staged, so that their measured size decides how they are joined.
+    """
+    levels = (("store_nbr", "store"), ("family", "family"))
+    sets = [[F.col("date"), F.col(key)] for key, _ in levels]
+    totals = df.select("date", "store_nbr", "family", F.col(target).alias("__x")).groupingSets(sets, F.col("date"), F.col("store_nbr"), F.col("family"))
+    totals = stage(totals.agg(F.grouping("family").alias("__of_store"), F.sum("__x").alias("__total")), "daily-totals")
+    for (key, name), of_store in zip(levels, (1, 0), strict=True):
         w = t.series([key])
-        daily = daily.select("date", key, *[F.lag("__total", k).over(w).alias(f"{name}_daily_total_lag{k}") for k in (1, 7)])
-        df = df.join(dimension(daily), ["date", key], "left")
+        daily = totals.where(F.col("__of_store") == of_store).select("date", key, *[F.lag("__total", k).over(w).alias(f"{name}_daily_total_lag{k}") for k in (1, 7)])
+        df = df.join(daily, ["date", key], "left")
     return df
 
 
@@ -218,7 +234,8 @@ def bool_to_int(df: DataFrame) -> DataFrame:
 
 
 def create_all_features(df: DataFrame, event: str = EARTHQUAKE, encode_before: str = "2017-08-01") -> DataFrame:
-    """All families, in one lazy plan."""
+    """All families, in one lazy plan over the staged panel, which the features of dates and of totals read too."""
+    df = stage(df, "panel")
     for step in (add_calendar_features, add_cyclical_encodings, add_fourier_features, add_lag_features, add_same_day_last_year_lag, add_rolling_features, add_ewm_features,
                  add_promotion_features, add_zero_inflation_features, add_new_series_features, add_holiday_features, add_oil_features):
         df = step(df)

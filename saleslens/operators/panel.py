@@ -9,14 +9,6 @@ from ..functions.calendar import master_calendar_columns
 from ..functions.text import first_seen_list
 from .temporal import asof_join, fill_both_ways
 
-#: Dimension tables are broadcast up to this many rows; larger ones join by shuffle.
-DIMENSION_ROWS = 200_000
-
-
-def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is small, which is counted first."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def process_holidays(holidays: DataFrame, order: str | None = None) -> DataFrame:
     """One row per date: flags of its events, and their types and descriptions joined in order.
@@ -44,14 +36,15 @@ def prices_as_of(panel_dates: DataFrame, oil: DataFrame) -> DataFrame:
     return asof_join(panel_dates.select("date").distinct(), oil.where(F.col("dcoilwtico").isNotNull()), "date", values=["dcoilwtico"])
 
 
-def assemble(sales: DataFrame, stores: DataFrame, oil: DataFrame, holidays: DataFrame, holiday_order: str | None = None) -> DataFrame:
+def assemble(sales: DataFrame, stores: DataFrame, oil: DataFrame, holidays: DataFrame, holiday_order: str | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Master panel: sales with stores, prices and holidays of the date, calendar columns.
 
-    The facts are not shuffled: dimensions are joined by broadcast while they are small.
+    The facts are not shuffled for tables of one row per date, which the calendar bounds; stores are a file, whose size Spark knows.
+    ``dates`` holds the panel's dates, if they can be had for less than a pass over ``sales``.
     """
-    out = sales.join(dimension(stores), "store_nbr", "left")
-    out = out.join(dimension(filled_prices(sales, oil)), "date", "left")
-    out = out.join(dimension(process_holidays(holidays, holiday_order)), "date", "left")
+    out = sales.join(stores, "store_nbr", "left")
+    out = out.join(F.broadcast(filled_prices(sales if dates is None else dates, oil)), "date", "left")
+    out = out.join(F.broadcast(process_holidays(holidays, holiday_order)), "date", "left")
     flags = ["is_holiday", "is_national_holiday", "is_regional_holiday", "is_local_holiday", "is_transferred"]
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags} | {c: F.coalesce(c, F.lit("None")) for c in ("holiday_type", "holiday_description")})
     return out.withColumns(master_calendar_columns(F.col("date")))

@@ -107,15 +107,13 @@ def add_first_positive_age(df: DataFrame, column: str = "sales", keys=KEYS, orde
 def densify(df: DataFrame, keys=KEYS, order: str = "date", fill: dict | None = None, calendar: str = "observed") -> DataFrame:
     """Every key with every date; ``calendar``: ``observed`` dates of any key, or ``daily`` from the first to the last.
 
-    Two dates are collected; the grid is exploded per key, so nothing is crossed.
+    The dates, one array that the calendar bounds, come from a scalar subquery and are exploded per key, so nothing is crossed or collected.
     """
-    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    if ends.a is None:
-        return df.fillna(fill or {})
-    days = F.explode(F.sequence(F.lit(ends.a).cast("date"), F.lit(ends.b).cast("date")))
-    grid = df.select(*keys).distinct().withColumn(order, days)
     if calendar == "observed":
-        grid = grid.join(df.select(order).distinct(), order, "left_semi")
+        days = df.select(order).distinct().agg(F.sort_array(F.collect_list(order)))
+    else:
+        days = df.agg(F.sequence(F.min(order).cast("date"), F.max(order).cast("date")))
+    grid = df.select(*keys).distinct().withColumn("__days", days.scalar()).select(*keys, F.explode("__days").alias(order))
     return grid.join(df, [*keys, order], "left").fillna(fill or {})
 
 

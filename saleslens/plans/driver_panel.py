@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.panel import assemble, dimension
+from ..operators.panel import assemble
 from ..operators.temporal import densify
+from ..sources.staging import stage
 
 YEARS = range(1995, 2002)
 #: (month, day, type, locale, description, transferred); every year has them all.
@@ -41,14 +42,19 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("date", "store_nbr", "family").agg(F.sum("l_quantity").alias("sales"), F.count_if(F.col("l_discount") >= 0.05).alias("onpromotion"))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def known_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``facts``, staged: one pass over the lines serves dates, series and rows."""
+    return stage(facts(spark, sf_dir), "facts")
+
+
+def panel(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """``facts`` for every observed date and series, absent ones 0."""
-    return densify(facts(spark, sf_dir), fill={"sales": 0.0, "onpromotion": 0})
+    return densify(known_facts(spark, sf_dir) if known is None else known, fill={"sales": 0.0, "onpromotion": 0})
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
-    nations = table(spark, sf_dir, "nation").join(dimension(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return nations.select(n.cast("int").alias("store_nbr"), F.col("n_name").alias("city"), F.col("r_name").alias("state"), F.char(65 + n % 5).alias("type"), (n % 17 + 1).cast("int").alias("cluster"))
 
 
@@ -63,4 +69,5 @@ def holidays(spark: SparkSession) -> DataFrame:
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble(panel(spark, sf_dir), stores(spark, sf_dir), prices(spark, sf_dir), holidays(spark), "ord")
+    known = known_facts(spark, sf_dir)
+    return assemble(panel(spark, sf_dir, known), stores(spark, sf_dir), prices(spark, sf_dir), holidays(spark), "ord", dates=known)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -388,11 +388,15 @@ def regular_daily(spark, sf):
 
 # Models: baselines, folds, slices
 
+def last_days(rows: DataFrame, n: int = 15) -> Column:
+    return F.col("date") > F.date_sub(rows.agg(F.max("date")).scalar(), n)
+
+
 def forecasts(spark, sf) -> DataFrame:
     """The last 15 days with the naive forecasts."""
-    rows = models.add_naive_baselines(dp.panel(spark, sf)).withColumnRenamed("naive_last_week", "pred")
-    last = dp.facts(spark, sf).agg(F.max("date").alias("d")).first()["d"]
-    return rows.where(F.col("date") > F.date_sub(F.lit(last), 15))
+    known = dp.known_facts(spark, sf)
+    rows = models.add_naive_baselines(dp.panel(spark, sf, known))
+    return rows.withColumnRenamed("naive_last_week", "pred").where(last_days(known))
 
 
 def with_interval(df: DataFrame) -> DataFrame:
@@ -420,8 +424,8 @@ def naive_rolling(spark, sf):
 
 @query(" UNION ALL ".join(f"SELECT '{m}' AS method, {_metrics_sql(c)} FROM oof" for m, c in (("naive_last_week", "pred"), ("naive_roll_7", "naive_roll_7"), ("naive_roll_28", "naive_roll_28"))), "oof")
 def naive_baselines(spark, sf):
-    last = dp.facts(spark, sf).agg(F.max("date").alias("d")).first()["d"]
-    return _metric_digits(models.compute_naive_baselines(dp.panel(spark, sf), F.col("date") > F.date_sub(F.lit(last), 15)))
+    known = dp.known_facts(spark, sf)
+    return _metric_digits(models.compute_naive_baselines(dp.panel(spark, sf, known), last_days(known)))
 
 
 @query(f"SELECT family, {_metrics_sql()}, count(*) AS count, round(avg(sales), 6) AS mean_actual, round(avg(CAST(sales = 0 AS INT)) * 100, 6) AS zero_pct FROM oof GROUP BY family", "oof")
