@@ -1,13 +1,15 @@
-"""Helpers shared by the corpus operators: word splitting, tables in the shared folder, argument checks."""
+"""Helpers shared by the corpus operators: word splitting, staged tables, argument checks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import discard, new_path
+from ..sources.staging import stage as materialize
+
+__all__ = ["GAP", "WORD", "discard", "drop_clashing", "materialize", "n_words", "new_path", "read"]
+
 #: Words are runs of characters other than space, tab, LF, VT, FF and CR.  ``bytes.split()`` without
 #: arguments splits UTF-8 bytes at exactly these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,31 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or one of our own if that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="saleslens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors, and gives later joins a plain scan, so that
-    adaptive execution can split a skewed side.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of words in a text as ``long``; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

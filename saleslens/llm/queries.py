@@ -42,6 +42,18 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, i, list_slice(w, i, i + 12) AS win FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL)),
+hits AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY win) AS low FROM g) WHERE low < doc_id),
+gone AS (SELECT rid, list(DISTINCT p) AS p FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE coalesce((
+    SELECT string_agg(x.word, ' ' ORDER BY x.i) FROM (SELECT unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i) x WHERE NOT list_contains(p, x.i)), '') END) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.rid = d.rid
+"""
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Stand-in for a published URL list: the pages of hosts with one of these labels.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -198,4 +210,4 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_substring": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL}

@@ -257,3 +257,21 @@ def pseudonymized(text, key, pii):
         return digits_run(m.group()) if regex.fullmatch(pii.CARD, m.group(), regex.ASCII) else one(m.group())
 
     return regex.sub(pii.PATTERN, replaced, text, flags=regex.ASCII), made
+
+
+def without_passages(docs, window=13):
+    """(id, n_words, n_removed, SHA-256 of the kept words) of the rows (id, text), window by window."""
+    low = {}
+    split = [(d, words(t)) for d, t in docs]
+    for d, w in split:
+        for i in range(len(w) - window + 1 if d is not None else 0):
+            k = tuple(w[i:i + window])
+            low[k] = min(low.get(k, d), d)
+    out = []
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1 if d is not None else 0):
+            if low[tuple(w[i:i + window])] < d:
+                gone.update(range(i, i + window))
+        out.append((d, len(w), len(gone), sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return out
