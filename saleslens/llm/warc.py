@@ -1,13 +1,14 @@
 """WARC archives with resolved revisits.
 
 Writing: headers only (id, digest, size) are shuffled by payload digest; the smallest id of equal payloads keeps the response,
-the others become revisit records that refer to it.  The decisions join the pages again by their own key, which is even
-whatever the copies, and records are written by Spark's text writer: a record ends with CR LF CR LF, which is the line separator.
+the others become revisit records that refer to it.  The decisions join the pages again by page id and digest; rows that repeat such a pair, and
+would fill more than a file, are dealt out over several tasks.  Records are written by Spark's text writer: a record ends with
+CR LF CR LF, which is the line separator.  Record ids are unique: they hash page id, digest, share and number of the repeated row.
 Reading: each archive file is parsed record by record by Content-Length, so a payload may hold anything; payload sizes and digests
 are computed anew.  ``resolve`` joins revisits to the responses they name.
 
 Defined cases: a null payload is empty; a page without URL gets the URI ``urn:page:<id>``; line breaks in URLs are percent-encoded; a null id is
-always a response and never referred to; rows that repeat the smallest id of their payload are all responses.
+always a response and never referred to; rows that repeat the smallest id of their payload are all responses, and revisits refer to the first.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -25,6 +26,8 @@ from .common import materialize
 CRLF = "\r\n"
 #: Uncompressed bytes aimed at per archive file; a file is parsed in one task.
 FILE_BYTES = 16 << 20
+#: Bytes of the headers of a record, about.
+OVERHEAD = 1024
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_id string, record_type string, page_id long, uri string, digest string, refers_to_record string, payload_bytes long, payload binary"
 
@@ -36,8 +39,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("")), digest))
+def _record_id(page: Column, digest: Column, share: Column, number: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("")), digest, share.cast("string"), number.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -52,13 +55,13 @@ def _headers(*fields: tuple[str, Column]) -> Column:
 
 
 def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(id, digest, refers_to, refers_uri) of the distinct pairs of the rows (id, uri, digest, n); the latter two null for responses."""
+    """(id, digest, refers_to, refers_uri, bytes) of the distinct pairs of the rows (id, uri, digest, n); the middle two null for responses."""
     first = materialize(pages.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("id").alias("refers_to"), F.min_by("uri", F.struct("id", "uri")).alias("refers_uri"), F.count("*").alias("rows"))
                         .where("rows > 1").drop("rows"), "warc-first")
-    heads = pages.groupBy("id", "digest").agg(F.max("n").alias("n"))
+    heads = pages.groupBy("id", "digest").agg(F.max("n").alias("n"), F.sum(F.col("n") + OVERHEAD).alias("bytes"))
     is_revisit = F.col("refers_to").isNotNull() & (F.col("id") != F.col("refers_to")) & (F.col("n") >= min_bytes)
     return heads.join(first, "digest", "left").select(
-        "id", "digest", *[F.when(is_revisit, F.col(c)).alias(c) for c in ("refers_to", "refers_uri")])
+        "id", "digest", *[F.when(is_revisit, F.col(c)).alias(c) for c in ("refers_to", "refers_uri")], "bytes")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0,
@@ -68,25 +71,36 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url"
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("body"))
     rows = rows.select("id", _uri(F.col("url"), F.col("id")).alias("uri"), "body", F.octet_length("body").cast("long").alias("n"), base32_sha1(F.col("body")).alias("digest"))
     heads = materialize(rows.drop("body"), "warc-heads")
-    total = heads.agg(F.sum(F.col("n") + 1024)).first()[0] or 0
+    total = heads.agg(F.sum(F.col("n") + OVERHEAD)).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    decisions = materialize(decide(heads, min_bytes), "warc-decisions")
     # One plain key, so that the join takes both sides as they are dealt out: payloads are shuffled once.
-    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("none")), F.col("digest")).alias("key")
-    p, d = rows.select("*", key).repartition(files, "key"), decisions.select(key, "refers_to", "refers_uri").repartition(files, "key")
-    all_rows = p.join(d, "key")
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("none")), F.col("digest"))
+    shares = F.ceil(F.col("bytes") / file_bytes).cast("int")
+    decisions = materialize(decide(heads, min_bytes).withColumn("shares", shares), "warc-decisions")
+    p = rows.withColumn("pair", key)
+    large = decisions.where("shares > 1")  # at most as many as there are files
+    if large.isEmpty():
+        p = p.withColumn("share", F.lit(0))
+    else:
+        own = large.select(key.alias("l_pair"), "shares")
+        p = p.join(own, F.col("pair") == F.col("l_pair"), "left").drop("l_pair")
+        p = p.withColumn("share", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shares").cast("int"), F.lit(0))).drop("shares")
+    d = decisions.select(key.alias("pair"), "refers_to", "refers_uri", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = F.concat_ws("/", "pair", "share").alias("key")
+    all_rows = p.select("*", both).repartition(files, "key").join(d.select(both, "refers_to", "refers_uri").repartition(files, "key"), "key")
+    all_rows = all_rows.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("uri")))
 
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))
     head = F.concat(F.lit(f"WARC/1.1{CRLF}"), _headers(
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        ("WARC-Record-ID", _record_id(F.col("id"), F.col("digest"))),
+        ("WARC-Record-ID", _record_id(F.col("id"), F.col("digest"), F.col("share"), F.col("number"))),
         ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", F.col("uri")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         ("WARC-Profile", F.when(revisit, PROFILE)),
-        ("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("digest")))),
+        ("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("digest"), F.lit(0), F.lit(1)))),
         ("WARC-Refers-To-Target-URI", F.col("refers_uri")),
         ("WARC-Refers-To-Date", F.when(revisit, date)),
         ("X-Page-Id", F.col("id").cast("string")),
@@ -152,11 +166,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """``records`` with ``refers_to``, the page id of the response that a revisit names, and that response's payload and size."""
+    """``records`` with ``refers_to``, the page id of the response that a revisit names, and that response's payload and size.
+
+    A plain join on record ids, which are unique, so that the revisits of one response can be split.
+    """
     originals = records.where("record_type = 'response'").select(
         F.col("record_id").alias("r_id"), F.col("page_id").alias("r_page"), F.col("payload_bytes").alias("r_bytes"), F.col("payload").alias("r_payload"), F.col("digest").alias("r_digest"))
     revisits = records.where("record_type = 'revisit'")
-    joined = revisits.join(originals.dropDuplicates(["r_id"]), revisits["refers_to_record"] == F.col("r_id"), "left")
+    joined = revisits.join(originals, revisits["refers_to_record"] == F.col("r_id"), "left")
     plain = [F.col(c) for c in ("record_id", "record_type", "page_id", "uri")]
     return (records.where("record_type != 'revisit'").select(*plain, "digest", "payload_bytes", "payload", F.lit(None).cast("long").alias("refers_to"))
             .unionByName(joined.select(*plain, F.coalesce("r_digest", "digest").alias("digest"), F.col("r_bytes").alias("payload_bytes"),

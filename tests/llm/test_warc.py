@@ -45,3 +45,16 @@ def test_small_payloads_stay_responses_and_empty_table(spark):
     assert {(r.page_id, r.refers_to) for r in got.collect()} == {(1, None), (2, None), (3, None), (4, 3)}
     empty, _ = round_trip(spark, df.limit(0))
     assert empty.count() == 0
+
+
+def test_one_pair_of_id_and_payload_may_hold_most_rows(spark):
+    """Null ids with one payload, and a repeated response: dealt out over several files, every record with an id of its own."""
+    rows = [(None, f"http://h/{i % 7}", "x" * 500) for i in range(4000)] + [(1, "http://one", "y" * 800)] * 3000 + [(i, "http://two", "y" * 800) for i in range(2, 500)]
+    got, path = round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), file_bytes=1 << 20)
+    stored = warc.read(spark, path)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").count() >= 6
+    ids = [r.record_id for r in stored.select("record_id").collect()]
+    assert len(ids) == len(set(ids)) == len(rows)
+    counts = {(r.record_type, r.refers_to): r["count"] for r in got.groupBy("record_type", "refers_to").count().collect()}
+    assert counts == {("response", None): 7000, ("revisit", 1): 498}
+    assert got.where("payload is null").count() == 0
