@@ -32,7 +32,9 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -41,11 +43,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete tables, as ``stage`` returned them, that nothing reads any more."""
     for df in staged:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if f"saleslens-{df.sparkSession.sparkContext.applicationId}/" in folder:
-                delete(df.sparkSession, folder)
+        delete(df.sparkSession, df.staged_path)
 
 
 def clear(spark: SparkSession) -> None:
