@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step.  ``edges`` holds (u, v) pairs, u != v.  Large: each node hands its smallest neighbour to its larger
+    """One step, after which the staged ``edges`` are deleted; they hold (u, v) pairs, u != v.  Large: each node hands its smallest neighbour to its larger
     neighbours; small: to its smaller ones and itself."""
     if large:
         pairs = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         new = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         new = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return materialize(new.where("u != v").distinct(), "star")
+    out = materialize(new.where("u != v").distinct(), "star")
+    discard(edges, least)
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

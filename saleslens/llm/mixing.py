@@ -5,8 +5,9 @@ a target stops at ``max_epochs`` times its source's size and the excess is resha
 epochs, and the rest by its documents in the order of exponential keys -ln(u) / quality (u from a hash of the id, so reruns
 agree), prefix-summed up to the budget; a document is in if the budget lies past its middle.
 
-No source is sorted in one task: keys fall into ``BUCKETS`` ordered buckets, bucket sums (combined before the shuffle) locate the one
-bucket per source in which the budget ends, and only its documents are ordered.
+No source is sorted in one task: keys fall into buckets by their logarithm, ``STEPS`` to a factor of e, so whatever the qualities are a
+bucket holds at most 0.4 / ``STEPS`` of the documents of one quality; bucket sums (combined before the shuffle) locate the one bucket per source in
+which the budget ends, and only its documents are ordered.  Sources are named by the weights' list: their table, a row each, is one task's.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times; an empty table gives an empty result; repeated ids are
 separate rows, ordered by size on equal keys; a null, zero or negative quality counts as ``MIN_QUALITY``; columns named like the outputs are
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import discard, materialize, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-BUCKETS = 4096
+STEPS = 1024
 MIN_QUALITY = 1e-3
 #: A table of sources is broadcast up to this many.
 BROADCAST_SOURCES = 100_000
@@ -58,12 +59,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, size: Column | None = None,
         weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """``df`` with size, source_size, target (its source's) and taken (words the mix takes of it, repeats counted).  ``size`` replaces
-    the number of words of ``text``, so that texts needn't pass through what was joined before."""
+    the number of words of ``text``.  ``df`` is read twice, so it should be narrow and staged; ``mix_texts`` sees to that."""
     outs = ("size", "source_size", "target", "taken")
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outs]
     key = exponential_key(F.col(f"`{id_col}`"), F.lit(1.0) if quality is None else quality, seed)
     rows = df.select(*kept, (n_words(F.col(f"`{text}`")) if size is None else size.cast("long")).alias("size"), F.col(f"`{source}`").alias("__source"), key.alias("__key"))
-    rows = rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"), F.lit(BUCKETS - 1)))
+    rows = rows.withColumn("__bucket", F.floor(F.ln("__key") * STEPS).cast("int"))
 
     sums = materialize(rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("size").alias("size")), "mix-buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
@@ -84,3 +85,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     middle = F.col("__before") + F.sum("size").over(order) - F.col("size") / 2
     last = rows.where("__bucket = __end").withColumn("__in", middle <= F.col("__rest"))
     return whole.unionByName(last).select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("__epochs") + F.col("__in").cast("long"))).alias("taken"))
+
+
+def mix_texts(df: DataFrame, qualities: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """``df`` with what ``mix`` adds, sampled by ``qualities`` (id_col, quality; one row per id, others count as 1).
+
+    Rows are decided on by id, hash of the text, source and size in a narrow staged table; texts are read once for their sizes and joined once to
+    the decisions.  Rows equal in all of these share the words that are taken of them.
+    """
+    outs = ("size", "source_size", "target", "taken")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outs]
+    row = [F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__text"), F.col(f"`{source}`").alias("__from")]
+    sizes = materialize(df.select(*row, n_words(F.col(f"`{text}`")).alias("__size")), "mix-rows")
+    rated = qualities.select(F.col(f"`{id_col}`").alias("__rated"), F.col("quality").alias("__quality"))
+    narrow = materialize(sizes.join(rated, F.col("__id") == F.col("__rated"), "left").drop("__rated"), "mix-rated")
+    discard(sizes)
+    mixed = mix(narrow, "__id", "__text", "__from", F.coalesce("__quality", F.lit(1.0)), F.col("__size"), **settings)
+    names = ("__id", "__text", "__from")
+    taken = mixed.groupBy(*names).agg(*[F.first(c).alias(c) for c in outs[:3]], F.avg("taken").cast("long").alias("taken"))
+    taken = materialize(taken.select(*[F.col(c).alias(f"__t{c}") for c in names], *outs), "mix-taken")
+    same = [c.eqNullSafe(F.col(f"__t{n}")) for c, n in zip((F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text}`")), F.col(f"`{source}`")), names, strict=True)]
+    return df.select(*kept).join(taken, same[0] & same[1] & same[2]).select(*kept, *outs)

@@ -9,7 +9,7 @@
 4. Components of the nodes; of each, the row with the smallest id stays.
 
 Defined cases: texts without words (null, empty) are equal to each other; texts of fewer than ``SHINGLE`` words are one shingle;
-letters A-Z count as lower case.
+letters A-Z count as lower case; repeated rows are one group, of which one row stays; null ids come after all others; columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .graph import connected_components
 
 SHINGLE = 5
@@ -129,16 +129,19 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     """The rows of ``df`` without near copies: of each component the row with the smallest id (null after all others)."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     signed = df.select(*columns, _signature(F.col(f"`{text}`")).alias("__s"))
-    rows = materialize(signed.select(*columns, F.col("__s.g").alias("__g"), F.col("__s.bands").alias("__bands")), "neardup")
-    nodes = materialize(rows.groupBy(F.col("__g").alias("g")).agg(F.min(F.col(f"`{id_col}`")).alias("first"), F.first("__bands").alias("bands")), "neardup-nodes")
+    rows = materialize(signed.select(*columns, F.col("__s.g").alias("__g"), F.col("__s.bands").alias("__bands"), F.monotonically_increasing_id().alias("__row")), "neardup")
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"))
+    nodes = materialize(rows.groupBy(F.col("__g").alias("g")).agg(F.min(order).alias("first"), F.first("__bands").alias("bands")), "neardup-nodes")
     keyed = nodes.select("g", F.explode("bands").alias("k"))
     buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("g")).alias("x"), F.min("g").alias("m")).where("n > 1")
     once = materialize(buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k"), "neardup-buckets")
     members = materialize(keyed.join(once, "k").select("k", "g"), "neardup-members")
     texts = rows.select(F.col("__g").alias("g"), F.col(f"`{text}`").alias("t")).join(members.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.first("t").alias("t"))
     sets = materialize(texts.select("g", _set(F.col("t")).alias("set")), "neardup-sets")
-    roots = materialize(connected_components(_links(members.join(sets, "g"))), "neardup-roots").select(F.col("node").alias("g"), "root")
+    links = materialize(_links(members.join(sets, "g")), "neardup-links")
+    discard(members, sets)
+    roots = materialize(connected_components(links), "neardup-roots").select(F.col("node").alias("g"), "root")
     owned = nodes.select("g", "first").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g"))
-    kept = materialize(owned.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no"), "first", "g")).alias("o"))
-                       .select(F.col("o.g").alias("__kept"), F.col("o.first").alias("__first")), "neardup-kept")
-    return rows.join(kept, (F.col("__g") == F.col("__kept")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__first")), "left_semi").select(*columns)
+    kept = materialize(owned.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept")), "neardup-kept")
+    discard(nodes, links)
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*columns)

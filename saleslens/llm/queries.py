@@ -55,13 +55,15 @@ FROM d LEFT JOIN gone ON gone.rid = d.rid
 
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Stand-in for a published URL list: the pages of hosts with one of these labels.
+#: Stand-in for a published URL list: the pages of hosts with one of these labels, and of all others those whose URL's MD5 begins with a zero,
+#: which no host or path gives away.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(urlfilter.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")).select("url")
+    by_host = urlfilter.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")
+    listed = pages.where(by_host | F.md5(F.col("url").cast("binary")).startswith("0")).select("url")
     return urlfilter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -78,7 +80,7 @@ f AS (
   SELECT page_id, url, max_by(h || pre, length(h || pre)) AS rule, max_by(what, length(h || pre)) AS what FROM (SELECT DISTINCT page_id, url, host, path FROM c)
     JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id, url)
 SELECT c.page_id, host, path, rule, coalesce(what, CASE WHEN canonical IN (SELECT canonical FROM c WHERE canonical IS NOT NULL AND
-  regexp_matches(host, '(^|\.)({"|".join(LISTED_LABELS)})\.')) THEN 'block' ELSE 'allow' END) AS verdict
+  (regexp_matches(host, '(^|\.)({"|".join(LISTED_LABELS)})\.') OR starts_with(md5(url), '0'))) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN f ON c.page_id IS NOT DISTINCT FROM f.page_id AND c.url IS NOT DISTINCT FROM f.url
 """
 
@@ -86,7 +88,7 @@ FROM c LEFT JOIN f ON c.page_id IS NOT DISTINCT FROM f.page_id AND c.url IS NOT
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     formatted = chat.windows(rows.unionByName(extra))
     return chat.digests(chat.read_back(formatted)).withColumnRenamed("conv", "conv_id")
 
@@ -152,17 +154,17 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
 
 
-def labelled_quality(docs: DataFrame, labels: DataFrame, out: str = "quality") -> DataFrame:
-    """``docs`` with the sampling quality of each; of repeated labels the best counts.  Labels grow with the corpus: never broadcast."""
-    best = labels.groupBy("doc_id").agg(F.max("quality").alias("__label"))
-    value = F.when(F.col("__label") == 1, GOOD).when(F.col("__label") == 0, BAD).otherwise(UNKNOWN)
-    return docs.join(best.hint("merge"), "doc_id", "left").withColumn(out, value).drop("__label")
+def qualities(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): the sampling quality of every labelled document; of repeated labels the best counts."""
+    best = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return best.select("doc_id", F.when(F.col("label") == 1, GOOD).when(F.col("label") == 0, BAD).otherwise(UNKNOWN).alias("quality"))
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("__size"))
-    docs = labelled_quality(docs, read(spark, sf_dir, "labels"), "__quality")
-    return mixing.mix(docs, quality=F.col("__quality"), size=F.col("__size")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = materialize(read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words")), "mix-sizes")
+    rated = materialize(docs.join(qualities(read(spark, sf_dir, "labels")), "doc_id", "left"), "mix-rated")
+    got = mixing.mix(rated, quality=F.coalesce("quality", F.lit(UNKNOWN)), size=F.col("words"))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = f"""

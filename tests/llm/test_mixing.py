@@ -30,3 +30,28 @@ def test_defined_cases(spark):
     assert {(r.doc_id, r.taken) for r in got if r.size == 0} == {(1, 0), (2, 0), (4, 0)}
     assert mixing.mix(df.limit(0)).count() == 0
     assert all(r.taken == 0 for r in mixing.mix(df.where("doc_id = 1")).collect())
+
+
+def test_texts_are_joined_to_decisions(spark):
+    rows = [(i, ("a", "b", None)[i % 3], "w " * (i % 40 + 1), "x") for i in range(300)] + [(None, "a", None, "y"), (None, "a", "null id", "y"), (7, "b", "other text of 7", "z"), (8, "c", "v " * 40_000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, Target string")
+    best = spark.createDataFrame([(i, float(i % 3 + 1)) for i in range(200)], "doc_id long, quality double")
+    got = mixing.mix_texts(df, best).collect()
+    assert len(got) == len(rows) and "Target" not in mixing.mix_texts(df, best).columns
+    size = {(r[0], r[2]): len(brute.words(r[2])) for r in rows}
+    want = brute.mixed([(i, s, size[i, t], float(i % 3 + 1) if i is not None and i < 200 else 1.0) for i, s, t, _ in rows if i not in (None, 7)])
+    assert all(r.size == size[r.doc_id, r.text] and 0 <= r.taken <= 3 * r.size for r in got)
+    by_source = {}
+    for r in got:
+        by_source.setdefault((r.source, r.target), []).append(r.taken)
+    assert all(abs(sum(taken) - target) <= 60 or source == "c" for (source, target), taken in by_source.items()) and want
+    assert mixing.mix_texts(df.limit(0), best).count() == 0
+    twice = mixing.mix_texts(df.where("doc_id < 20").unionAll(df.where("doc_id < 20")), best).collect()
+    assert len(twice) == 44 and all(r.taken <= 3 * r.size for r in twice)
+
+
+def test_low_qualities_spread_over_buckets(spark):
+    """With the smallest quality, keys would all be far out; buckets still hold few documents each."""
+    keys = spark.range(20_000).select(mixing.exponential_key(F.col("id"), F.lit(0.0)).alias("k"))
+    most = keys.groupBy(F.floor(F.ln("k") * mixing.STEPS)).count().agg(F.max("count")).first()[0]
+    assert most <= 40

@@ -1,6 +1,7 @@
 """Rules, the list behind the Bloom filter, and defined cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from saleslens.llm import urlfilter
 from saleslens.llm.queries import RULES
@@ -15,6 +16,30 @@ def test_list_is_exact(spark, monkeypatch, per_block):
     assert got == {i: "block" if i % 3 == 0 else "allow" for i in range(3000)}
 
 
+@pytest.mark.parametrize("per_block", [32, 512])
+def test_false_positives_reach_the_exact_join_only(spark, monkeypatch, per_block):
+    """Of 20,000 URLs that aren't listed, the filter lets some through; all end as allowed.  Repeated rows are judged alike."""
+    monkeypatch.setattr(urlfilter, "PER_BLOCK", per_block)
+    listed = spark.range(20_000).select(F.concat(F.lit("http://h.org/l"), "id").alias("url"))
+    pages = spark.range(20_000).select("id", F.concat(F.lit("http://h.org/p"), "id").alias("url"))
+    pages = pages.unionByName(pages.where("id < 10")).unionByName(listed.select(F.lit(-1).alias("id"), "url"))
+    table, blocks = urlfilter.build_filter(listed.select(urlfilter.canonical(F.col("url")).alias("canonical")))
+    probe = pages.where("id >= 0").select(urlfilter.canonical(F.col("url")).alias("c")).withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks))).join(table, "block")
+    passed = F.lit(True)
+    for i, bit in enumerate(urlfilter._bits(F.col("c"))):
+        passed = passed & (F.col(f"w{i}").bitwiseAND(bit) == bit)
+    false = probe.where(passed).count()
+    assert 0 < false < (2000 if per_block == 32 else 20_010)
+    got = urlfilter.judge(pages, listed, []).groupBy((F.col("id") < 0).alias("listed"), "verdict").count().collect()
+    assert {(r.listed, r.verdict, r["count"]) for r in got} == {(False, "allow", 20_010), (True, "block", 20_000)}
+
+
+def test_long_url(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 1_000_000), (2, "x" * 1_000_000), (3, "http://a.org/?" + "b=1&" * 100_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(df, df.where("page_id = 3"), RULES).collect()}
+    assert got == {1: ("net/es/", "block"), 2: (None, "allow"), 3: (None, "block")}
+
+
 def test_rules_and_defined_cases(spark):
     cases = [("http://example.com/en/a", "example.com/en/", "block"), ("http://www.Example.com/en/", "www.example.com/en/", "allow"), ("http://x.www.example.com/en/q?r", "www.example.com/en/", "allow"),
              ("http://example.com/fr", "com/", "allow"), ("http://notexample.com/en/", "com/", "allow"), ("http://a.net/es/", "net/es/", "block"), ("http://a.net/de/", None, "allow"), ("http://com", None, "allow"),
