@@ -1,10 +1,12 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted on a bounded sample, over-full clusters being split until lists are balanced, and linked to an in-memory
-neighbour graph that is small enough to broadcast.  Every vector is put into the list of its nearest centroid and, near a
-boundary, into those of up to ``REPLICAS`` - 1 others within a ratio of that distance.  A query searches the graph for its nearest centroids, keeps those
-within a ratio of the nearest distance, and scans their lists exactly in double precision; ratio and number of lists are tuned on the
-sample for a wanted recall.
+Centroids are kept in two levels, so that their number grows with the table: cells, fitted on a bounded sample and linked to an in-memory
+neighbour graph that is broadcast, and the lists of each cell, fitted and linked in a task of their own on up to ``SAMPLE`` of the cell's
+vectors.  Over-full clusters are split until lists are balanced.  Every vector is put into the list of its nearest centroid and, near a
+boundary, into those of up to ``REPLICAS`` - 1 others within a ratio of that distance, in whichever cell they are.  A query searches the
+graphs for its nearest cells and their nearest lists, keeps those within a ratio of the nearest distance, and scans them exactly in double
+precision; numbers and ratios are tuned for a wanted recall by the true neighbours of ``TUNED`` queries in the whole table.  Queries whose lists
+hold too few vectors are answered exactly.
 
 Inner products are searched as distances: a vector x becomes (x, sqrt(M^2 - |x|^2)), M the largest norm, a query (q M / |q|, 0).
 Equal vectors are one class in the index (with as many smallest ids as an answer can need), so copies fill no list.  Neighbouring lists
@@ -23,16 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
-#: Vectors that the centroids are fitted on, at most; distinct vectors aimed at per list; lists at most.
-SAMPLE, LIST_SIZE, MAX_LISTS = 40_000, 128, 4096
+#: Vectors that the cells' centroids, and those of the lists of one cell, are fitted on, at most; distinct vectors aimed at per list; cells at most.
+SAMPLE, LIST_SIZE, MOST_CELLS = 40_000, 128, 5000
 #: Lists of one vector at most, and how much farther than the nearest their centroids may be.
 REPLICAS, BOUNDARY = 4, 1.1
-#: Centroids that a search of the graph keeps while it assigns vectors; links of a centroid.
+#: Centroids that a search of a graph keeps while it assigns vectors; links of a centroid.
 BEAM, DEGREE = 32, 24
-#: Recall that the number of lists and the distance ratio of queries are tuned for on the sample, and lists read at least.
-RECALL, LEAST_LISTS = 0.96, 4
+#: Recall that queries are tuned for, queries that it is tuned on, cells that they look at meanwhile, and lists that any query reads at least.
+RECALL, TUNED, WIDE, LEAST_LISTS = 0.96, 256, 64, 4
 #: Neighbouring lists that are scanned together, and rows of such a group, and queries of it, that meet in one call.
 GROUP, SHARD = 64, 16384
 
@@ -68,7 +70,7 @@ def fit_centroids(sample: np.ndarray, n_lists: int, rounds: int = 8, seed: int =
 
 
 def link_centroids(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """Neighbour lists (n, degree): half nearest, half from a ring of growing strides, which keeps the graph connected."""
+    """Neighbour lists (n, degree): two thirds nearest, the rest from a ring of growing strides, which keeps the graph connected."""
     n = len(c)
     near = max(1, min(degree * 2 // 3, n - 1))
     out = np.empty((n, near), dtype=np.int32)
@@ -149,37 +151,6 @@ def group_lists(c: np.ndarray, most: int = GROUP) -> np.ndarray:
     return out
 
 
-def by_group(names: pd.Series, lists: list[np.ndarray], groups: np.ndarray) -> pd.DataFrame:
-    """(c, g, lists): a row per vector and group."""
-    rows = [(name, int(g), own[groups[own] == g]) for name, own in zip(names, lists, strict=True) for g in np.unique(groups[own])]
-    return pd.DataFrame(rows, columns=["c", "g", "lists"])
-
-
-def tune(points: np.ndarray, top: float, index: tuple, k: int, recall: float, queries: int = 256) -> tuple[int, float]:
-    """(lists, ratio) with which sampled queries find ``recall`` of their true neighbours in the sample; neighbours are nearer in the
-    whole table, so this errs on the safe side."""
-    c, links, entry = index
-    x = points[:, :-1]
-    at = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-    score = x[at] @ x.T
-    score[np.arange(len(at)), at] = -np.inf
-    n = min(k, len(x) - 1)
-    if n < 1:
-        return len(c), 2.0
-    true = np.argpartition(-score, n - 1, axis=1)[:, :n]
-    lists = choose_lists(*search_graph(points, c, links, entry, BEAM), REPLICAS, BOUNDARY)
-    q = np.hstack([x[at] * (top / np.sqrt((x[at] ** 2).sum(axis=1, keepdims=True))), np.zeros((len(at), 1))])
-    d = squared(q, c)
-    order = d.argsort(axis=1).argsort(axis=1)
-    rank, ratio = np.empty(true.shape), np.empty(true.shape)
-    for i, row in enumerate(true):
-        for j, v in enumerate(row):
-            best = lists[v][np.argmin(d[i, lists[v]])]
-            rank[i, j], ratio[i, j] = order[i, best] + 1, np.sqrt(d[i, best] / max(d[i].min(), 1e-12))
-    part = 1 - (1 - recall) / 2
-    return int(np.quantile(rank, part, method="higher")), float(np.quantile(ratio, part, method="higher"))
-
-
 def valid(vec: Column) -> Column:
     """Not null, not zero, all components finite."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -190,6 +161,152 @@ def _matrix(col) -> np.ndarray:
     return np.stack(list(col)).astype(np.float64) if len(col) else np.zeros((0, 1))
 
 
+def _rows_of(schema: str, *columns) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip([x.split()[0] for x in schema.split(", ")], columns, strict=True)))
+
+
+def _flat(names: pd.Series, ids: np.ndarray, d: np.ndarray, most: int, ratio: float, least: int = 1):
+    """(name, id, rank, ratio to the nearest, squared distance) of the chosen ones of every row."""
+    chosen = choose_lists(ids, d, most, ratio, least)
+    sizes = np.array([len(x) for x in chosen])
+    rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.repeat(np.arange(len(names)), sizes)
+    dist = d[row, rank]
+    return names.to_numpy()[row], np.concatenate(chosen), rank, np.sqrt(dist / np.maximum(d[row, 0], 1e-12)), dist
+
+
+ROUTED = "c long, cell int, cell_rank int, cell_ratio double"
+FOUND = "c long, cell int, cell_rank int, cell_ratio double, list int, g long, d double"
+FINE = "cell int, list int, g long, centroid array<double>"
+
+
+class Index:
+    """Cells, whose centroids are fitted on a bounded sample and broadcast as a graph, and each cell's lists, fitted in a task per cell.
+
+    There are about as many cells as lists a cell, so neither the broadcast nor a task's graph grows faster than the root of the table.
+    """
+
+    def __init__(self, vecs: DataFrame, n: int, top: float, sample: int, list_size: int):
+        self.spark, self.top, self.list_size = vecs.sparkSession, top, list_size
+        part = vecs.select("v").where(F.pmod(F.xxhash64("c", F.lit(1)), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.5 * sample / n) * (1 << 20)) + 1)).limit(sample)
+        points = lift(_matrix([r.v for r in part.collect()]), top)
+        self.n_cells = max(1, min(MOST_CELLS, len(points) // 8, round((n / list_size) ** 0.5)))
+        c = fit_centroids(points, self.n_cells)
+        self.n_cells = len(c)
+        self.cells = self.spark.sparkContext.broadcast((c, link_centroids(c), entry_points(c)))
+        self.lists = self._fit_lists(vecs)
+
+    def route(self, vecs: DataFrame, most: int, ratio: float, queries: bool = False) -> DataFrame:
+        """ROUTED rows with ``v``: the nearest cells of every vector."""
+        cells, lifted = self.cells, self._lifter(queries)
+
+        def routed(batches):
+            c, links, entry = cells.value
+            for pdf in batches:
+                if len(pdf):
+                    ids, d = search_graph(lifted(pdf["v"]), c, links, entry, max(BEAM, most))
+                    name, cell, rank, near, _ = _flat(pdf["c"], ids, d, most, ratio)
+                    out = _rows_of(ROUTED, name, cell, rank, near)
+                    out["v"] = pdf["v"].to_numpy()[np.repeat(np.arange(len(pdf)), np.diff(np.r_[np.flatnonzero(rank == 0), len(rank)]))]
+                    yield out
+
+        return vecs.select("c", "v").mapInPandas(routed, ROUTED + ", v array<double>")
+
+    def _lifter(self, queries: bool):
+        top = self.top
+
+        def lifted(col) -> np.ndarray:
+            x = _matrix(col)
+            if not queries:
+                return lift(x, top)
+            return np.hstack([x * (top / np.sqrt((x * x).sum(axis=1, keepdims=True))), np.zeros((len(x), 1))])
+
+        return lifted
+
+    def _fit_lists(self, vecs: DataFrame) -> DataFrame:
+        """FINE rows: the lists of each cell, about one per ``list_size`` of its vectors, fitted on ``SAMPLE`` of them at most."""
+        own = materialize(self.route(vecs, 1, 1.0), "ann-own")
+        sizes = own.groupBy("cell").agg(F.count("*").alias("size"))
+        some = own.join(F.broadcast(sizes), "cell")  # a row per cell, of which there are at most MOST_CELLS
+        some = some.where(F.pmod(F.xxhash64("c", F.lit(2)), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("size")) * (1 << 20))
+        lifted, list_size = self._lifter(False), self.list_size
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            cell, c = int(pdf["cell"].iloc[0]), fit_centroids(lifted(pdf["v"]), max(1, round(int(pdf["size"].iloc[0]) / list_size)))
+            return _rows_of(FINE, np.full(len(c), cell, dtype=np.int32), np.arange(len(c), dtype=np.int32), cell * np.int64(1 << 20) + group_lists(c), list(c))
+
+        lists = materialize(some.select("cell", "size", "v").groupBy("cell").applyInPandas(fit, FINE), "ann-lists")
+        discard(own)
+        return lists
+
+    def place(self, routed: DataFrame, most: int, ratio: float, queries: bool = False, least: int = 1) -> DataFrame:
+        """FOUND rows: of the lists in a vector's cells, the nearest.  Vectors of a large cell are dealt out in shards; its centroids go to all."""
+        routed = materialize(routed, "ann-routed")
+        shards = routed.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("n"))
+        shards = materialize(shards, "ann-shards")
+        v = routed.join(F.broadcast(shards), "cell").withColumn("shard", F.pmod(F.xxhash64("c"), "n").cast("int")).drop("n")
+        c = self.lists.join(F.broadcast(shards), "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        lifted = self._lifter(queries)
+
+        def placed(x: pd.DataFrame, fine: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(fine):
+                return _rows_of(FOUND, *[[]] * 7)
+            fine = fine.sort_values("list")
+            c, groups = _matrix(fine["centroid"]), fine["g"].to_numpy()
+            ids, d = search_graph(lifted(x["v"]), c, link_centroids(c), entry_points(c), max(BEAM, most))
+            name, one, _, _, dist = _flat(pd.Series(np.arange(len(x))), ids, d, most, ratio, least)
+            return _rows_of(FOUND, *[x[n].to_numpy()[name] for n in ("c", "cell", "cell_rank", "cell_ratio")], one, groups[one], dist)
+
+        found = v.groupBy("cell", "shard").cogroup(c.groupBy("cell", "shard")).applyInPandas(placed, FOUND)
+        by = Window.partitionBy("c")
+        found = found.withColumn("rank", F.row_number().over(by.orderBy("d", "cell", "list"))).withColumn("ratio", F.sqrt(F.col("d") / F.greatest(F.min("d").over(by), F.lit(1e-12))))
+        out = materialize(found.where((F.col("rank") <= least) | (F.col("rank") <= most) & (F.col("ratio") <= ratio + 1e-9)), "ann-placed")
+        discard(routed, shards)
+        return out
+
+
+def exact(vecs: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """(q, c, score): the ``k`` largest inner products of each of a bounded number of queries (class, vector) over all other vectors."""
+    names, m = np.array([q for q, _ in asked], dtype=np.int64), _matrix([v for _, v in asked])
+
+    def best(batches):
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            c, score = pdf["c"].to_numpy(), m @ _matrix(pdf["v"]).T
+            score = np.where(names[:, None] == c[None], -np.inf, score)
+            some = min(k + 12, len(c))
+            at = np.argpartition(-score, some - 1, axis=1)[:, :some]
+            now = pd.DataFrame({"q": np.repeat(names, some), "c": c[at].ravel(), "score": np.take_along_axis(score, at, 1).ravel()})
+            now = now[np.isfinite(now["score"])] if held is None else pd.concat([held, now[np.isfinite(now["score"])]])
+            held = now.sort_values(["q", "score", "c"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+        if held is not None:
+            yield held
+
+    found = vecs.mapInPandas(best, "q long, c long, score double")
+    return found.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("at") <= k).drop("at")
+
+
+def tune(index: Index, vecs: DataFrame, asked: DataFrame, postings: DataFrame, k: int, recall: float) -> tuple[int, float, int, float]:
+    """(cells, ratio of cells, lists, ratio of lists) with which ``TUNED`` queries find ``recall`` of their true neighbours in the whole table."""
+    some = asked.orderBy(F.xxhash64("c", F.lit(3))).limit(TUNED)
+    rows = [(r.c, list(r.v)) for r in some.select("c", "v").collect()]
+    true = materialize(exact(vecs, rows, k).select("q", "c"), "ann-true")
+    wide = index.place(index.route(some, min(index.n_cells, WIDE), np.inf, queries=True), WIDE * 16, np.inf, queries=True)
+    held = true.join(postings.select("c", "cell", "list"), "c")
+    seen = held.join(wide.select(F.col("c").alias("q"), "cell", "list", "cell_rank", "cell_ratio", "rank", "ratio"), ["q", "cell", "list"])
+    best = seen.groupBy("q", "c").agg(F.min_by(F.struct("cell_rank", "cell_ratio", "rank", "ratio"), "rank").alias("b")).select("b.*").toPandas()  # TUNED * k rows at most
+    if not len(best):
+        return WIDE, float("inf"), WIDE, float("inf")
+    part = 1 - (1 - recall) / 4
+
+    def at(column: str) -> float:
+        return float(np.quantile(best[column], part, method="higher"))
+
+    return int(at("cell_rank")) + 1, at("cell_ratio"), int(at("rank")), at("ratio")
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec: str = "embedding", list_size: int = LIST_SIZE,
             sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id_col, score): the ``k`` largest inner products found for each row that satisfies ``is_query``, ties to the smaller id."""
@@ -206,41 +323,23 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     classes = materialize(ranked.groupBy("v").agg(F.min("id").alias("c"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-classes")
     queries = materialize(rows.where("q").select("id", "v").join(classes.select("v", "c"), "v").select("id", "c"), "ann-queries")
     stats = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
-
-    part = classes.select("v").where(F.pmod(F.xxhash64("c", F.lit(1)), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.5 * sample / stats.n) * (1 << 20)) + 1)).limit(sample)
-    points = lift(_matrix([r.v for r in part.collect()]), stats.top)
-    centroids = fit_centroids(points, max(1, min(MAX_LISTS, stats.n // list_size, len(points))))
-    graph = (centroids, link_centroids(centroids), entry_points(centroids))
-    probes, ratio = tune(points, stats.top, graph, k, recall)
-    index = spark.sparkContext.broadcast((*graph, group_lists(centroids), float(stats.top)))
-
-    def listed(batches):
-        c, links, entry, groups, top = index.value
-        for pdf in batches:
-            if len(pdf):
-                ids, d = search_graph(lift(_matrix(pdf["v"]), top), c, links, entry, BEAM)
-                yield by_group(pdf["c"], choose_lists(ids, d, REPLICAS, BOUNDARY), groups)
-
-    def probed(batches):
-        c, links, entry, groups, top = index.value
-        for pdf in batches:
-            if len(pdf):
-                q = _matrix(pdf["v"])
-                q = np.hstack([q * (top / np.sqrt((q * q).sum(axis=1, keepdims=True))), np.zeros((len(q), 1))])
-                ids, d = search_graph(q, c, links, entry, probes + BEAM)
-                least = min(LEAST_LISTS, len(c))
-                yield by_group(pdf["c"], choose_lists(ids, d, max(probes, least), ratio, least), groups)
+    if queries.isEmpty():
+        return spark.createDataFrame([], schema)
 
     vecs = classes.select("c", "v")
-    asked = vecs.join(queries.select("c").distinct(), "c", "left_semi")
-    kept = "c long, g int, lists array<int>"
-    postings = materialize(vecs.repartition("c").mapInPandas(listed, kept), "ann-postings")
-    wanted = materialize(asked.repartition("c").mapInPandas(probed, kept), "ann-probes")
-
-    # At most MAX_LISTS rows: shards of each group and of its queries.
-    shards = (postings.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("vs"))
-              .join(wanted.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("qs")), "g"))
-    shards = F.broadcast(materialize(shards, "ann-shards"))
+    index = Index(vecs, stats.n, float(stats.top), sample, list_size)
+    postings = index.place(index.route(vecs, REPLICAS, BOUNDARY), REPLICAS, BOUNDARY)
+    asked = materialize(vecs.join(queries.select("c").distinct(), "c", "left_semi"), "ann-asked")
+    cells, cell_ratio, lists, ratio = tune(index, vecs, asked, postings, k, recall)
+    wanted = index.place(index.route(asked, cells, cell_ratio, queries=True), max(lists, LEAST_LISTS), ratio, queries=True, least=LEAST_LISTS)
+
+    def by_group(x: DataFrame) -> DataFrame:
+        return x.groupBy("c", "g").agg(F.collect_list("list").alias("lists"))
+
+    postings, wanted = materialize(by_group(postings), "ann-postings"), materialize(by_group(wanted), "ann-probes")
+    # A row per group of lists: shards of each group and of its queries.
+    shards = materialize(postings.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("vs"))
+                         .join(wanted.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("qs")), "g"), "ann-shards")
     by = ["g", "vs", "qs"]
 
     def dealt(x: DataFrame, own: str, other: str) -> DataFrame:
@@ -268,10 +367,31 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     found = dealt(postings, "vs", "qs").groupBy(*by).cogroup(dealt(wanted, "qs", "vs").groupBy(*by)).applyInPandas(scan, "q long, c long, score double")
     found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    found = found.withColumn("at", F.row_number().over(top)).where(F.col("at") <= keep)
+    found = materialize(found.withColumn("at", F.row_number().over(top)).where(F.col("at") <= keep).drop("at"), "ann-found")
+    found = with_short_queries(found, vecs, asked, min(keep, stats.n), keep)
+
     ids = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
     ids = ids.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("at") <= keep)
     answers = materialize(ids.select(F.col("q").alias("c"), F.col("id").alias("near"), "score"), "ann-answers")
     own = queries.join(answers, "c").where("id != near")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "near"))
     return own.select(F.col("id").alias("query_id"), rank.alias("rank"), F.col("near").alias(id_col), "score").where(F.col("rank") <= k)
+
+
+def with_short_queries(found: DataFrame, vecs: DataFrame, asked: DataFrame, enough: int, keep: int, step: int = 1024) -> DataFrame:
+    """``found`` with the answers of queries whose lists held fewer than ``enough`` classes replaced by those of an exact search, block by block."""
+    full = found.groupBy("q").count().where(F.col("count") >= enough)
+    short = materialize(asked.join(full, F.col("c") == F.col("q"), "left_anti").select("c", "v").withColumn("block", F.pmod(F.xxhash64("c"), F.lit(1 << 16))), "ann-short")
+    n = short.count()
+    parts = [found] if n == 0 else [found.join(short.select(F.col("c").alias("q")), "q", "left_anti")]
+    blocks = max(1, -(-2 * n // step))
+    for i in range(blocks if n else 0):
+        rows = [(r.c, list(r.v)) for r in short.where(F.col("block") % blocks == i).limit(2 * step).collect()]
+        if rows:
+            own = vecs.join(F.broadcast(vecs.sparkSession.createDataFrame([(r[0],) for r in rows], "q long")), F.col("c") == F.col("q"))
+            itself = own.select("q", "c", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("score"))
+            parts += [exact(vecs, rows, keep), itself]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p.select("q", "c", "score"))
+    return out

@@ -1,6 +1,7 @@
 """Neighbours against brute force: recall, exact scores, defined cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from saleslens.llm import ann
@@ -30,6 +31,41 @@ def test_recall_on_whole_table(spark, sf_dir):
     assert (got.groupby("query_id")["rank"].apply(list).map(lambda r: r == list(range(1, len(r) + 1)))).all()
 
 
+def table(spark, x, schema):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], schema)
+
+
+@pytest.mark.parametrize(("n", "dim", "list_size"), [(3000, 16, 16), (20_000, 24, 128)])
+def test_recall_over_many_lists(spark, n, dim, list_size):
+    """Over 150 lists; the larger table at the registered size of lists."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(60, dim))[rng.integers(0, 60, n)] * 2 + rng.normal(size=(n, dim))
+    df = table(spark, x, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, list_size=list_size).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == n // 20
+    true = true_neighbours(list(range(n)), x, list(range(0, n, 20)), 20)
+    found = {q: set(g["vec_id"]) for q, g in got.groupby("query_id")}
+    assert sum(len(found[q] & {v for v, _ in t}) for q, t in true.items()) >= 0.9 * n
+
+
+def test_lists_are_balanced_and_grow_with_the_table(spark):
+    rng = np.random.default_rng(5)
+    for n in (2000, 16_000):
+        x = rng.normal(size=(n, 8))
+        vecs = table(spark, x, "c long, v array<double>")
+        index = ann.Index(vecs, n, float(np.sqrt((x * x).sum(axis=1)).max()), 1000, 64)
+        assert n / 64 / 2 <= index.lists.count() <= n / 64 * 3
+        sizes = index.place(index.route(vecs, 1, 1.0), 1, 1.0).groupBy("cell", "list").count().toPandas()["count"]
+        assert sizes.sum() == n and sizes.max() <= 8 * 64
+
+
+def test_queries_with_too_few_candidates_are_answered_exactly(spark):
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 40)], "c long, v array<double>")
+    asked, none = vecs.where("c <= 3"), spark.createDataFrame([(3, 3, 10.0)], "q long, c long, score double")
+    got = {(r.q, r.c) for r in ann.with_short_queries(none, vecs, asked, 5, 5).where("q != c").collect()}
+    assert {c for q, c in got if q == 2} == {39, 38, 37, 36, 35} and {q for q, _ in got} == {1, 2, 3}
+
+
 def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], "a"), (1, [2.0, 0.0], "b"), (2, [2.0, 0.0], "c"), (2, [2.0, 0.0], "c"), (3, None, None), (4, [0.0, 0.0], ""), (5, [nan, 1.0], ""), (6, [inf, 1.0], ""), (7, [None, 1.0], ""),
