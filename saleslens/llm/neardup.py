@@ -1,8 +1,11 @@
-"""Near copies by word shingles: MinHash bands bring candidates together, exact Jaccard similarity links them.
+"""Near copies by word shingles: SimHash fingerprints and, beyond their reach, MinHash bands bring candidates together; exact Jaccard
+similarity links them.
 
 1. A text is the set of 64-bit hashes of its shingles of ``SHINGLE`` words.  ``BANDS`` bands of ``ROWS`` minima each are its
-   signature; rows with equal words are one node from here on.
-2. Nodes with an equal band share a bucket.  Two texts of similarity s meet in at least one with probability
+   signature; rows with equal words are one node from here on.  Their SimHash fingerprint comes from the same hashes.
+2. Nodes with equal fingerprints, or with fingerprints that the pivot distance tables of ``simhash`` link (at most ``RADIUS`` bits), share a bucket.
+   At a similarity of 0.8, fingerprints differ in about 10 of 64 bits, which no table of bit blocks can route, so
+   nodes with an equal band share a bucket too.  Two texts of similarity s meet in at least one with probability
    1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, and more above.  Buckets with the same members count once.
 3. Only nodes of buckets of two or more carry their sets along.  A bucket hands on a spanning forest of the links with
    Jaccard similarity ``MIN_JACCARD`` or more, compared exactly, never all pairs; nothing less similar is linked.
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .graph import connected_components
+from .simhash import fingerprint_links, of_hashes
 
 SHINGLE = 5
 MIN_JACCARD = 0.8
 BANDS, ROWS = 24, 5
+RADIUS = 3
 
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,10 +64,11 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _signature(text: Column) -> Column:
-    @F.pandas_udf("g long, bands array<long>")
+    @F.pandas_udf("g long, fp long, bands array<long>")
     def signatures(texts: pd.Series) -> pd.DataFrame:
         both = [shingles(t) for t in texts]
-        return pd.DataFrame({"g": pd.Series([g for g, _ in both], dtype="int64"), "bands": [bands(h) for _, h in both]})
+        fps = pd.Series([of_hashes(h) if len(h) else None for _, h in both], dtype="Int64")
+        return pd.DataFrame({"g": pd.Series([g for g, _ in both], dtype="int64"), "fp": fps, "bands": [bands(h) for _, h in both]})
 
     return signatures(text)
 
@@ -129,10 +135,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     """The rows of ``df`` without near copies: of each component the row with the smallest id (null after all others)."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     signed = df.select(*columns, _signature(F.col(f"`{text}`")).alias("__s"))
-    rows = materialize(signed.select(*columns, F.col("__s.g").alias("__g"), F.col("__s.bands").alias("__bands"), F.monotonically_increasing_id().alias("__row")), "neardup")
+    rows = materialize(signed.select(*columns, F.col("__s.g").alias("__g"), F.col("__s.fp").alias("__fp"), F.col("__s.bands").alias("__bands"), F.monotonically_increasing_id().alias("__row")), "neardup")
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"))
-    nodes = materialize(rows.groupBy(F.col("__g").alias("g")).agg(F.min(order).alias("first"), F.first("__bands").alias("bands")), "neardup-nodes")
-    keyed = nodes.select("g", F.explode("bands").alias("k"))
+    nodes = materialize(rows.groupBy(F.col("__g").alias("g")).agg(F.min(order).alias("first"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands")), "neardup-nodes")
+    printed = nodes.where("fp is not null").select("g", "fp")
+    near = materialize(fingerprint_links(printed.select("fp"), RADIUS), "neardup-near")
+    ends = near.select(F.xxhash64(F.lit("link"), F.least("a", "b"), F.greatest("a", "b")).alias("k"), F.explode(F.array("a", "b")).alias("fp")).distinct()
+    keyed = (nodes.select("g", F.explode("bands").alias("k")).unionByName(printed.select("g", F.xxhash64(F.lit("fp"), "fp").alias("k")))
+             .unionByName(ends.join(printed, "fp").select("g", "k")))
     buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("g")).alias("x"), F.min("g").alias("m")).where("n > 1")
     once = materialize(buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k"), "neardup-buckets")
     members = materialize(keyed.join(once, "k").select("k", "g"), "neardup-members")

@@ -4,7 +4,7 @@
 2. Pivot table: the Hamming distances of every distinct fingerprint to ``N_PIVOTS`` reference fingerprints, computed
    once.  By the triangle inequality, fingerprints at most r apart differ by at most r in each coordinate.
 3. Rows meet in buckets of equal bit blocks (of r + 2 blocks, two fingerprints at most r bits apart share two).
-   Pivot coordinates alone can't route: on 64 bits each lets over half of random pairs pass.  Within a bucket,
+   Pivot coordinates alone can't route: on 64 bits each lets 46 % of random pairs pass.  Within a bucket,
    pairs are discarded by their largest coordinate difference and the survivors verified exactly.
 4. A bucket of over ``MAX_BUCKET`` distinct fingerprints is dealt out again by finer blocks, until at most 2**14
    different fingerprints can share one; a bucket hands on a spanning forest of its links, never all pairs.
@@ -53,6 +53,14 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42, st
     return int(np.packbits(2 * counts > len(begin)).view(">i8")[0])
 
 
+def of_hashes(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """``fingerprint`` of the given shingle hashes."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(hashes), step):
+        counts += np.unpackbits(hashes[i:i + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", words_per_shingle: int = 3) -> DataFrame:
     """``df`` with a ``long`` fingerprint column (an existing column of that name is replaced)."""
 
