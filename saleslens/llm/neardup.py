@@ -26,9 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import GAP, discard, materialize
 from .graph import connected_components
 from .simhash import fingerprint_links, of_hashes
+from .urlfilter import LOWER, UPPER
 
 SHINGLE = 5
 MIN_JACCARD = 0.8
@@ -38,18 +39,17 @@ RADIUS = 3
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> tuple[int, np.ndarray]:
-    """Signed hash of the words of a text in order, and the hashes of its shingles (repeated ones repeat)."""
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the shingles of a text (repeated ones repeat)."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    joined = b" ".join(words)
-    name = int(np.uint64(xxhash.xxh64_intdigest(joined, 42)).view(np.int64))
     if not words:
-        return name, np.array([], dtype=np.uint64)
+        return np.array([], dtype=np.uint64)
+    joined = b" ".join(words)
     starts = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1, out=starts[1:])
     k = min(SHINGLE, len(words))
     begin, end = starts[:len(words) - k + 1].tolist(), (starts[k:] - 1).tolist()
-    return name, np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, begin, end)), repeat(42)), dtype=np.uint64, count=len(begin))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, begin, end)), repeat(42)), dtype=np.uint64, count=len(begin))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -64,11 +64,11 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _signature(text: Column) -> Column:
-    @F.pandas_udf("g long, fp long, bands array<long>")
+    @F.pandas_udf("fp long, bands array<long>")
     def signatures(texts: pd.Series) -> pd.DataFrame:
-        both = [shingles(t) for t in texts]
-        fps = pd.Series([of_hashes(h) if len(h) else None for _, h in both], dtype="Int64")
-        return pd.DataFrame({"g": pd.Series([g for g, _ in both], dtype="int64"), "fp": fps, "bands": [bands(h) for _, h in both]})
+        every = [shingles(t) for t in texts]
+        fps = pd.Series([of_hashes(h) if len(h) else None for h in every], dtype="Int64")
+        return pd.DataFrame({"fp": fps, "bands": [bands(h) for h in every]})
 
     return signatures(text)
 
@@ -76,7 +76,7 @@ def _signature(text: Column) -> Column:
 def _set(text: Column) -> Column:
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t)[1]).tobytes() for t in texts], dtype=object)
+        return pd.Series([np.unique(shingles(t)).tobytes() for t in texts], dtype=object)
 
     return sets(text)
 
@@ -131,13 +131,24 @@ def _links(rows: DataFrame) -> DataFrame:
     return rows.select("k", "g", "set").repartition("k").sortWithinPartitions("k").mapInArrow(links, "a long, b long")
 
 
+def _words_hash(text: Column) -> Column:
+    """Hash of the words of a text in order, A-Z in lower case."""
+    words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
+    return F.xxhash64(F.array_join(words, " "))
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the row with the smallest id (null after all others)."""
+    """The rows of ``df`` without near copies: of each component the row with the smallest id (null after all others).
+
+    Texts are read for their signatures and again for what stays; only texts of shared buckets are shuffled, and what is staged is narrow.
+    What goes is the smaller part, so the last join removes it, by id and words.
+    """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    signed = df.select(*columns, _signature(F.col(f"`{text}`")).alias("__s"))
-    rows = materialize(signed.select(*columns, F.col("__s.g").alias("__g"), F.col("__s.fp").alias("__fp"), F.col("__s.bands").alias("__bands"), F.monotonically_increasing_id().alias("__row")), "neardup")
-    order = F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"))
-    nodes = materialize(rows.groupBy(F.col("__g").alias("g")).agg(F.min(order).alias("first"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands")), "neardup-nodes")
+    own_id = F.col(f"`{id_col}`")
+    named = df.select(*columns, _words_hash(F.col(f"`{text}`")).alias("__g"))
+    rows = materialize(named.select("__g", own_id.alias("id"), _signature(F.col(f"`{text}`")).alias("s")).select(F.col("__g").alias("g"), "id", "s.fp", "s.bands"), "neardup")
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "g")
+    nodes = materialize(rows.groupBy("g").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "neardup-nodes")
     printed = nodes.where("fp is not null").select("g", "fp")
     near = materialize(fingerprint_links(printed.select("fp"), RADIUS), "neardup-near")
     ends = near.select(F.xxhash64(F.lit("link"), F.least("a", "b"), F.greatest("a", "b")).alias("k"), F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -146,12 +157,26 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("g")).alias("x"), F.min("g").alias("m")).where("n > 1")
     once = materialize(buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k"), "neardup-buckets")
     members = materialize(keyed.join(once, "k").select("k", "g"), "neardup-members")
-    texts = rows.select(F.col("__g").alias("g"), F.col(f"`{text}`").alias("t")).join(members.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.first("t").alias("t"))
+    wanted = materialize(members.select(F.col("g").alias("__wanted")).distinct(), "neardup-wanted")
+    texts = named.select("__g", F.col(f"`{text}`").alias("t")).join(wanted, F.col("__g") == F.col("__wanted"), "left_semi").groupBy(F.col("__g").alias("g")).agg(F.first("t").alias("t"))
     sets = materialize(texts.select("g", _set(F.col("t")).alias("set")), "neardup-sets")
     links = materialize(_links(members.join(sets, "g")), "neardup-links")
-    discard(members, sets)
+    discard(members, sets, wanted, once, near)
     roots = materialize(connected_components(links), "neardup-roots").select(F.col("node").alias("g"), "root")
     owned = nodes.select("g", "first").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g"))
-    kept = materialize(owned.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept")), "neardup-kept")
-    discard(nodes, links)
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*columns)
+    kept = materialize(owned.groupBy("root").agg(F.min("first").alias("f")).select("f.g", "f.id"), "neardup-kept")
+    pairs = materialize(rows.groupBy("g", "id").agg(F.count("*").alias("rows")), "neardup-pairs")
+    discard(rows, nodes, links)
+
+    def pair(x: DataFrame, tag: str) -> DataFrame:
+        return materialize(x.select(F.col("g").alias("__pg"), F.col("id").alias("__pid")), tag)
+
+    same = pairs["g"].eqNullSafe(kept["g"]) & pairs["id"].eqNullSafe(kept["id"])
+    gone = pair(pairs.join(kept, same, "left_anti"), "neardup-gone")
+    again = pair(pairs.where("rows > 1").join(kept, same, "left_semi"), "neardup-again")
+    match = (F.col("__g") == F.col("__pg")) & own_id.eqNullSafe(F.col("__pid"))
+    stays = named.join(gone, match, "left_anti")
+    if again.isEmpty():
+        return stays.select(*columns)
+    repeats = stays.join(again, match, "left_semi").dropDuplicates(["__g", id_col])
+    return stays.join(again, match, "left_anti").select(*columns).unionByName(repeats.select(*columns))
