@@ -143,12 +143,49 @@ def reconcile_forecasts(df: DataFrame, actual: str = "sales", pred: str = "pred"
     return out.select("date", "series_id", "level", actual, F.col(pred).alias(f"{pred}_base"), *names)
 
 
-def shrunk_covariance(residuals: np.ndarray, shrinkage: float = 0.5) -> np.ndarray:
-    """Sample covariance drawn towards its diagonal."""
-    cov = np.atleast_2d(np.cov(residuals.T))
+def shrunk(cov: np.ndarray, shrinkage: float = 0.5) -> np.ndarray:
+    """A covariance drawn towards its diagonal."""
     return (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov))
 
 
+def residual_covariance(residuals: DataFrame, order: list[str], partitions: int = 64) -> np.ndarray:
+    """Sample covariance of the series named in ``order`` over all dates; (date, series_id, value) rows, missing ones 0, repeated ones summed.
+
+    Dates are vectors in at most ``partitions`` tasks, each of which adds up the products of its dates; only the rows of one n x n matrix
+    reach the driver, so what it gets depends on the number of series alone.
+    """
+    n, place = len(order), {name: i for i, name in enumerate(order)}
+    values = residuals.groupBy("date", "series_id").agg(F.sum("value").alias("value"))
+    sums = {r.series_id: r.s for r in values.groupBy("series_id").agg(F.sum("value").alias("s")).collect() if r.series_id in place}
+    n_dates = residuals.select("date").distinct().count()
+    mean = np.array([sums.get(name) or 0.0 for name in order]) / max(n_dates, 1)
+    vectors = values.groupBy("date").agg(F.collect_list(F.struct("series_id", F.coalesce("value", F.lit(0.0)).alias("value"))).alias("v"))
+
+    def products(parts):
+        total, seen = np.zeros((n, n)), 0
+        for pdf in parts:
+            for v in pdf["v"]:
+                x = -mean
+                for r in v:
+                    if r["series_id"] in place:
+                        x[place[r["series_id"]]] += r["value"]
+                total += np.outer(x, x)
+                seen += 1
+        if seen:
+            yield pd.DataFrame({"i": np.arange(n), "p": list(total), "d": seen})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "p": [np.sum(list(pdf["p"]), axis=0)], "d": [int(pdf["d"].sum())]})
+
+    schema = "i long, p array<double>, d long"
+    out, dates = np.zeros((n, n)), 0
+    for r in vectors.coalesce(partitions).mapInPandas(products, schema).groupBy("i").applyInPandas(added, schema).toLocalIterator():
+        out[r.i], dates = r.p, r.d
+    # Dates without any of the series are vectors of zeros.
+    out += (n_dates - dates) * np.outer(mean, mean)
+    return out / max(n_dates - 1, 1)
+
+
 def summing_matrix(stores: list, families: list) -> np.ndarray:
     """Rows: total, stores, families, bottoms (store by store); columns: bottoms."""
     n_s, n_f = len(stores), len(families)
@@ -172,15 +209,17 @@ def mint_shrink(base: DataFrame, residuals: DataFrame, max_series: int = 5000) -
     ``base`` and ``residuals`` are long: (date, level, series_id, value).  The matrix is n x n in the series of the hierarchy, so
     their number is limited; dates are reconciled in parallel.
     """
-    names = [r.series_id for r in base.select("level", "series_id").distinct().collect()]
-    if len(names) > max_series:
-        raise ValueError(f"{len(names)} series; at most {max_series} (use reconcile_min_trace)")
+    named = base.select("level", "series_id").distinct()
+    found = named.limit(max_series + 1).count()
+    if found > max_series:
+        raise ValueError(f"over {max_series} series (use reconcile_min_trace)")
+    names = [r.series_id for r in named.collect()]
     stores = sorted((n.removeprefix("Store_") for n in names if n.startswith("Store_")))
     families = sorted((n.removeprefix("Family_") for n in names if n.startswith("Family_")))
     order = ["Total", *[f"Store_{s}" for s in stores], *[f"Family_{f}" for f in families], *[f"{s}_{f}" for s in stores for f in families]]
     place = {n: i for i, n in enumerate(order)}
-    wide = residuals.toPandas().pivot_table(index="date", columns="series_id", values="value", aggfunc="sum").reindex(columns=order).fillna(0.0).to_numpy()
-    g = base.sparkSession.sparkContext.broadcast(projection(summing_matrix(stores, families), shrunk_covariance(wide)))
+    cov = shrunk(residual_covariance(residuals, order))
+    g = base.sparkSession.sparkContext.broadcast(projection(summing_matrix(stores, families), cov))
     n_f = len(families)
 
     def one_date(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.text import unique_id
 from ..operators import eda, hierarchy, models
 from ..operators.features import create_all_features, prepare_train_val_split
 from ..operators.panel import assemble
@@ -79,6 +83,37 @@ def train_and_evaluate(spark: SparkSession, processed_dir: str, predictions_dir:
     return oof.groupBy("fold").agg(*stats.all_metrics(F.col("sales"), F.col("pred")))
 
 
+def train_final_model(spark: SparkSession, processed_dir: str, models_dir: str, until: str = "2017-08-15", features: list[str] | None = None, params: dict | None = None) -> PipelineModel:
+    """The model to use: fitted on every row up to ``until``, boosting stopped early on a tenth of them; stored as ``model_final``."""
+    rows = readers.load_parquet(spark, f"{processed_dir}/train_features.parquet").where(F.col("date") <= F.lit(until).cast("date"))
+    model = models.train_gbt(rows, features=features, params=models.final_gbt_params() if params is None else params, early_fraction=0.1)
+    writers.save_model(model, f"{models_dir}/model_final")
+    return model
+
+
+def predict_intervals(spark: SparkSession, processed_dir: str, predictions_dir: str, models_dir: str, val_start: str = "2017-08-01", val_end: str = "2017-08-15", calibration_days: int = 16,
+                      features: list[str] | None = None, params: dict | None = None, quantiles=(0.05, 0.5, 0.95)) -> DataFrame:
+    """Forecasts of the validation days with their quantiles, written as ``quantile_predictions.parquet``; returns the coverage in percent.
+
+    The model sees the days before the last ``calibration_days`` ahead of ``val_start``; residuals of those give the quantiles per family,
+    stored beside the model.  A family without calibration rows gets the forecast itself as its quantiles.
+    """
+    first, last = date.fromisoformat(val_start), date.fromisoformat(val_end)
+    cut = first - timedelta(days=calibration_days)
+    df = readers.load_parquet(spark, f"{processed_dir}/train_features.parquet")
+    model = models.train_gbt(df.where(F.col("date") < F.lit(cut)), features=features, params=params, early_fraction=0.1)
+    held = models.predict_gbt(model, df.where((F.col("date") >= F.lit(cut)) & (F.col("date") < F.lit(first))))
+    writers.write_parquet(models.fit_residual_quantiles(held, quantiles), f"{models_dir}/residual_quantiles.parquet")
+    writers.save_model(model, f"{models_dir}/model_intervals")
+    residuals = spark.read.parquet(f"{models_dir}/residual_quantiles.parquet")
+    val = models.predict_gbt(model, df.where(F.col("date").between(F.lit(first), F.lit(last))))
+    out = models.predict_quantiles(val, residuals, quantiles).withColumn("unique_id", unique_id(F.col("store_nbr"), F.col("family")))
+    path = f"{predictions_dir}/quantile_predictions.parquet"
+    writers.write_parquet(out.select("date", "store_nbr", "family", "unique_id", "sales", "pred", *map(models.quantile_name, quantiles)), path)
+    low, high = models.quantile_name(min(quantiles)), models.quantile_name(max(quantiles))
+    return spark.read.parquet(path).agg((stats.share(F.col("sales").between(F.col(low), F.col(high))) * 100).alias("coverage_pct"))
+
+
 def reconcile_and_evaluate(spark: SparkSession, forecasts: DataFrame, predictions_dir: str) -> DataFrame:
     """Bottom forecasts (date, store_nbr, family, sales, pred) to reconciled forecasts and their evaluation by level."""
     path = f"{predictions_dir}/reconciled_forecasts.parquet"
