@@ -7,9 +7,12 @@ similarity links them.
    At a similarity of 0.8, fingerprints differ in about 10 of 64 bits, which no table of bit blocks can route, so
    nodes with an equal band share a bucket too.  Two texts of similarity s meet in at least one with probability
    1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, and more above.  Buckets with the same members count once.
-3. Only nodes of buckets of two or more carry their sets along.  A bucket hands on a spanning forest of the links with
-   Jaccard similarity ``MIN_JACCARD`` or more, compared exactly, never all pairs; nothing less similar is linked.
-4. Components of the nodes; of each, the row with the smallest id stays.
+3. Only nodes of buckets of two or more carry their sets along.  A bucket is dealt into pieces of about ``PIECE`` nodes, each with the
+   bucket's first node; a piece hands on a spanning forest of the links with Jaccard similarity ``MIN_JACCARD`` or more,
+   compared exactly, never all pairs; nothing less similar is linked.
+4. In a bucket of several pieces whose nodes aren't one component by then, every node outside the largest one is compared with all nodes of other
+   components, in tasks of two pieces; what links components is handed on.  So no link is lost and no task gets more than two pieces.
+5. Components of the nodes; of each, the row with the smallest id stays.
 
 Defined cases: texts without words (null, empty) are equal to each other; texts of fewer than ``SHINGLE`` words are one shingle;
 letters A-Z count as lower case; repeated rows are one group, of which one row stays; null ids come after all others; columns may have any names.
@@ -34,6 +37,7 @@ from .urlfilter import LOWER, UPPER
 SHINGLE = 5
 MIN_JACCARD = 0.8
 BANDS, ROWS = 24, 5
+PIECE = 128
 RADIUS = 3
 
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,54 +85,111 @@ def _set(text: Column) -> Column:
     return sets(text)
 
 
-def _forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links of one bucket, breadth first; every node is compared with those not reached yet only."""
-    a, b = [], []
+def _similar(x: int, near: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Those of ``near`` whose sets have Jaccard similarity ``MIN_JACCARD`` or more with set ``x``."""
+    near = near[(sizes[near] >= MIN_JACCARD * sizes[x]) & (sizes[x] >= MIN_JACCARD * sizes[near])]
+    if not len(near):
+        return near
+    every = np.concatenate([sets[i] for i in near])
+    at = np.minimum(np.searchsorted(sets[x], every), sizes[x] - 1)
+    ends = np.cumsum(sizes[near])
+    shared = np.diff(np.r_[0, np.r_[0, np.cumsum(sets[x][at] == every)][ends]])
+    # Whole numbers where it matters: shared / union >= 0.8.
+    return near[shared * 10 >= round(MIN_JACCARD * 10) * (sizes[x] + sizes[near] - shared)]
+
+
+def _forest(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the links of one piece, breadth first; every node is compared with those not reached yet only."""
+    links = []
     sizes = np.array([len(s) for s in sets])
     left = np.arange(len(sets))
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = left[(sizes[left] >= MIN_JACCARD * sizes[x]) & (sizes[x] >= MIN_JACCARD * sizes[left])]
-            if not len(near):
-                continue
-            every = np.concatenate([sets[i] for i in near])
-            at = np.minimum(np.searchsorted(sets[x], every), sizes[x] - 1)
-            ends = np.cumsum(sizes[near])
-            shared = np.diff(np.r_[0, np.r_[0, np.cumsum(sets[x][at] == every)][ends]])
-            # Whole numbers where it matters: shared / union >= 0.8.
-            found = near[shared * 10 >= round(MIN_JACCARD * 10) * (sizes[x] + sizes[near] - shared)]
-            if len(found):
-                a.extend(repeat(x, len(found)))
-                b.extend(found.tolist())
-                queue.extend(found.tolist())
-                left = left[~np.isin(left, found)]
-    return a, b
-
-
-def _links(rows: DataFrame) -> DataFrame:
-    """(a, b) links of the rows (k, g, set), bucket by bucket."""
+            found = _similar(x, left, sets, sizes)
+            links += [(names[x], names[y]) for y in found.tolist()]
+            queue.extend(found.tolist())
+            left = left[~np.isin(left, found)]
+    return links
+
+
+def _bridges(parts: list[int], outer: list[bool], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between components ``parts``: each ``outer`` node against the others of components that nothing here has linked yet."""
+    links, sizes, now, far = [], np.array([len(s) for s in sets]), np.array(parts), np.array(outer)
+    for x in np.flatnonzero(far):
+        rest = np.flatnonzero((now != now[x]) & ~far)
+        for y in _similar(int(x), rest, sets, sizes):
+            if now[y] != now[x]:
+                links.append((parts[x], parts[y]))
+                now[now == now[y]] = now[x]
+    return links
+
+
+def _by_key(rows: DataFrame, columns: list[str], found) -> DataFrame:
+    """(a, b) pairs that ``found`` makes of the lists of ``columns`` and of the sets of each key ``k``."""
 
     def links(batches):
-        key, names, sets = None, [], []
+        key, held = None, []
 
         def done():
-            a, b = _forest(sets)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in x], pa.int64()) for x in (a, b)], names=["a", "b"])
+            *lists, sets = zip(*held, strict=True)
+            pairs = found(*map(list, lists), [np.frombuffer(s, dtype=np.uint64) for s in sets])
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for k, g, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k, *r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if k != key:
-                    if len(names) > 1:
+                    if len(held) > 1:
                         yield done()
-                    key, names, sets = k, [], []
-                names.append(g)
-                sets.append(np.frombuffer(s, dtype=np.uint64))
-        if len(names) > 1:
+                    key, held = k, []
+                held.append(r)
+        if len(held) > 1:
             yield done()
 
-    return rows.select("k", "g", "set").repartition("k").sortWithinPartitions("k").mapInArrow(links, "a long, b long")
+    return rows.select("k", *columns, "set").repartition("k").sortWithinPartitions("k").mapInArrow(links, "a long, b long")
+
+
+def _pieces(n: Column) -> Column:
+    return F.ceil(n / PIECE)
+
+
+def _of(n: Column, *key: str) -> Column:
+    """Which of ``n`` pieces a row is dealt to."""
+    return F.pmod(F.xxhash64(*key), n)
+
+
+def _upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _roots(members: DataFrame, once: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, root) of the nodes that have links: ``once`` holds the buckets (k, n, m: size and first node), ``members`` those of their nodes (k, n, m, g), ``sets`` (g, set)."""
+    t = _pieces(F.col("n"))
+    dealt = members.where("g != m").select("k", "g", _of(t, "k", "g").alias("i"))
+    firsts = once.select("k", F.col("m").alias("g"), _upto(t).alias("i"))
+    pieces = materialize(dealt.unionByName(firsts).select(F.xxhash64("k", "i").alias("k"), "g"), "neardup-pieces")
+    links = materialize(_by_key(pieces.join(sets, "g"), ["g"], _forest), "neardup-links")
+    roots = materialize(connected_components(links).select(F.col("node").alias("g"), "root"), "neardup-roots")
+    discard(pieces, links)
+    named = members.where(t > 1).join(roots, "g", "left").select("k", "g", "n", F.coalesce("root", "g").alias("c"))
+    named = materialize(named, "neardup-named")
+    parts = named.groupBy("k", "c").agg(F.count("*").alias("size")).groupBy("k")
+    parts = parts.agg(F.max_by("c", F.struct("size", "c")).alias("top"), (F.sum("size") - F.max("size")).alias("rest")).where("rest > 0")
+    parts = materialize(parts, "neardup-parts")
+    if parts.isEmpty():
+        return roots
+    both, tr = named.join(parts, "k"), _pieces(F.col("rest"))
+    inner = both.select("k", "g", "c", _of(t, "k", "g").alias("i"), _upto(tr).alias("j"), F.lit(False).alias("outer"))
+    outer = both.where("c != top").select("k", "g", "c", _upto(t).alias("i"), _of(tr, "g", "k").alias("j"), F.lit(True).alias("outer"))
+    pairs = materialize(inner.unionByName(outer).select(F.xxhash64("k", "i", "j").alias("k"), "g", "c", "outer"), "neardup-outer")
+    bridges = materialize(_by_key(pairs.join(sets, "g"), ["c", "outer"], _bridges), "neardup-bridges")
+    joined = materialize(connected_components(bridges).select(F.col("node").alias("c"), F.col("root").alias("r")), "neardup-joined")
+    # Both ends of a bridge may be nodes without a link of their own.
+    every = roots.unionByName(joined.select(F.col("c").alias("g"), F.col("c").alias("root"))).distinct()
+    out = materialize(every.join(joined, F.col("root") == F.col("c"), "left").select("g", F.coalesce("r", "root").alias("root")).distinct(), "neardup-roots")
+    discard(named, parts, pairs, bridges, joined, roots)
+    return out
 
 
 def _words_hash(text: Column) -> Column:
@@ -155,18 +216,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     keyed = (nodes.select("g", F.explode("bands").alias("k")).unionByName(printed.select("g", F.xxhash64(F.lit("fp"), "fp").alias("k")))
              .unionByName(ends.join(printed, "fp").select("g", "k")))
     buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("g")).alias("x"), F.min("g").alias("m")).where("n > 1")
-    once = materialize(buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k"), "neardup-buckets")
-    members = materialize(keyed.join(once, "k").select("k", "g"), "neardup-members")
+    once = materialize(buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k", "n", "m"), "neardup-buckets")
+    members = materialize(keyed.join(once, "k").select("k", "n", "m", "g"), "neardup-members")
     wanted = materialize(members.select(F.col("g").alias("__wanted")).distinct(), "neardup-wanted")
     texts = named.select("__g", F.col(f"`{text}`").alias("t")).join(wanted, F.col("__g") == F.col("__wanted"), "left_semi").groupBy(F.col("__g").alias("g")).agg(F.first("t").alias("t"))
     sets = materialize(texts.select("g", _set(F.col("t")).alias("set")), "neardup-sets")
-    links = materialize(_links(members.join(sets, "g")), "neardup-links")
+    roots = _roots(members, once, sets)
     discard(members, sets, wanted, once, near)
-    roots = materialize(connected_components(links), "neardup-roots").select(F.col("node").alias("g"), "root")
     owned = nodes.select("g", "first").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g"))
     kept = materialize(owned.groupBy("root").agg(F.min("first").alias("f")).select("f.g", "f.id"), "neardup-kept")
     pairs = materialize(rows.groupBy("g", "id").agg(F.count("*").alias("rows")), "neardup-pairs")
-    discard(rows, nodes, links)
+    discard(rows, nodes)
 
     def pair(x: DataFrame, tag: str) -> DataFrame:
         return materialize(x.select(F.col("g").alias("__pg"), F.col("id").alias("__pid")), tag)

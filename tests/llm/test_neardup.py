@@ -55,7 +55,24 @@ def test_exact_limit_chain_and_defined_cases(spark):
     assert run(spark, []) == []
 
 
-def test_large_bucket_is_linked_whole():
-    sets = [neardup.np.unique(neardup.np.arange(i, i + 100, dtype=neardup.np.uint64)) for i in range(0, 600, 10)]
-    a, b = neardup._forest(sets)  # neighbours share 90 of 110, the next ones 80 of 120
-    assert len(a) == len(sets) - 1 and {abs(x - y) for x, y in zip(a, b, strict=True)} == {1}
+def chain(n, first):
+    """Sets of which neighbours share 90 of 110 members, the next ones 80 of 120."""
+    return [neardup.np.arange(first + i, first + i + 100, dtype=neardup.np.uint64) for i in range(0, 10 * n, 10)]
+
+
+def test_piece_is_linked_whole():
+    links = neardup._forest(list(range(60)), chain(60, 0))
+    assert len(links) == 59 and {abs(x - y) for x, y in links} == {1}
+
+
+def test_bucket_of_many_pieces_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PIECE", 8)
+    sets = [*chain(60, 0), *chain(40, 10**6), *(chain(1, 10**7 * (i + 1))[0] for i in range(20))]
+    rows = spark.createDataFrame([(g, bytearray(s.tobytes())) for g, s in enumerate(sets)], "g long, set binary")
+    buckets = {1: range(120), 2: range(100, 120), 3: (5, 6), 4: (5, 7)}
+    once = spark.createDataFrame([(k, len(b), min(b)) for k, b in buckets.items()], "k long, n long, m long")
+    members = spark.createDataFrame([(k, len(b), min(b), g) for k, b in buckets.items() for g in b], "k long, n long, m long, g long")
+    got = {}
+    for r in neardup._roots(members, once, rows).collect():
+        got.setdefault(r.root, set()).add(r.g)
+    assert sum(map(len, got.values())) == 100 and sorted(map(sorted, got.values())) == [list(range(60)), list(range(60, 100))]
