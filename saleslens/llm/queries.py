@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, pii, simhash, substring, urlfilter, warc
+from . import ann, chat, decontam, fim, langid, mixing, pii, simhash, substring, urlfilter, warc
 from .common import materialize, n_words, new_path, read
 
 
@@ -199,6 +199,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{fim.TOKEN}') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, {", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
+c AS (
+  SELECT *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (
+  SELECT *, array_to_string(list_slice(w, 1, a), '') AS pre, array_to_string(list_slice(w, a + 1, b), '') AS mid, array_to_string(list_slice(w, b + 1, len(w)), '') AS suf FROM c)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n, form, CASE WHEN form != 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_neighbours": op2_neighbours,
@@ -210,6 +232,8 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
+    "op13_fim": op13_fim,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_substring": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_substring": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL,
+                              "op13_fim": OP13_SQL}
