@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, fim, langid, mixing, pii, simhash, substring, urlfilter, warc
+from . import ann, chat, decontam, fim, langid, mixing, pii, repair, simhash, substring, urlfilter, warc
 from .common import materialize, n_words, new_path, read
 
 
@@ -199,6 +199,70 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    got = repair.digests(repair.repair(repair.damaged(rows)))
+    ids = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in repair.STATS]
+    return ids.join(got, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _edit(cost: str, letter: str, line: str, following: str) -> str:
+    """SQL of one edit before what follows: struct of cost, audit and repaired lines."""
+    return f"{{'c': {following}.c + {cost}, 'a': '{letter}' || {following}.a, 't': {line} || {following}.t}}"
+
+
+def _cheapest(state: int) -> str:
+    """SQL of the cheapest edit of row r in a state, turns inserted before it left aside."""
+    keep = ("CASE WHEN ok THEN CASE i " + " ".join(f"WHEN '{'suao'[k]}' THEN " + _edit("late", "K", "role || ':' || text || chr(10)", f"s{repair.STEP[state][k]}")
+                                                   for k in range(4) if repair.STEP[state][k] < 4) + " END END")
+    to = repair.TARGET[state]
+    rerole = f"CASE WHEN ok THEN {_edit('late + 1', 'R', chr(39) + repair.NAMES[to] + ':' + chr(39) + ' || text || chr(10)', f's{to}')} END"
+    return f"list_min([{_edit('2', 'D', chr(39) * 2, f's{state}')}, {keep}, {rerole}])"
+
+
+def _inserted(old: str, new: str) -> str:
+    """SQL of the states' costs when one more turn may be inserted first."""
+    more = [_edit("5", "I", f"'{repair.NAMES[repair.TARGET[q]]}:' || chr(10)", f"{old}{repair.TARGET[q]}") for q in range(4)]
+    return ", ".join(f"list_min([{old}{q}, {more[q]}]) AS {new}{q}" for q in range(4))
+
+
+_ENDS = [(0, "", ""), (10, "II", "'user:' || chr(10) || 'assistant:' || chr(10)"), (5, "I", "'assistant:' || chr(10)"), (0, "", "")]
+OP12_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
+    coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(bytes, lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) % 20 AS kind FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind != 0),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS i FROM d),
+f AS (
+  SELECT *, body = '' AS blank, body != '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS dup,
+    coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i NOT IN ('su', 'ua', 'au'), false) AS illegal FROM n),
+r AS (SELECT *, NOT blank AND NOT dup AND body[-1] NOT IN ('.', '!', '?') AS truncated, NOT blank AND NOT dup AS ok, CASE WHEN truncated THEN 5 ELSE 0 END AS late FROM f),
+t AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate,
+    count_if(truncated) AS truncated, count_if(illegal) AS illegal FROM r GROUP BY conv_id),
+s AS (
+  SELECT conv_id, rows AS p, {", ".join("{{'c': CAST({} AS BIGINT), 'a': '{}', 't': {}}} AS s{}".format(c, a, t or "''", q) for q, (c, a, t) in enumerate(_ENDS))} FROM t
+  UNION ALL
+  SELECT conv_id, p - 1, d0, d1, d2, d3 FROM (
+    SELECT conv_id, p, {_inserted("c", "d")} FROM (
+      SELECT conv_id, p, {_inserted("b", "c")} FROM (
+        SELECT s.conv_id, p, {", ".join(f"{_cheapest(q)} AS b{q}" for q in range(4))} FROM s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.p = r.pos)))),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit,
+  sha256(coalesce(s0.t[:-2], '')) AS repaired_sha256
+FROM o LEFT JOIN t ON o.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id AND s.p = 0
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -232,8 +296,9 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
+    "op12_repair": op12_repair,
     "op13_fim": op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_substring": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL,
-                              "op13_fim": OP13_SQL}
+                              "op12_repair": OP12_SQL, "op13_fim": OP13_SQL}
