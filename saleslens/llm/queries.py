@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, fim, langid, mixing, pii, repair, simhash, substring, urlfilter, warc
+from . import ann, chat, decontam, fim, htmltext, langid, mixing, pii, repair, simhash, substring, urlfilter, warc
 from .common import materialize, n_words, new_path, read
 
 
@@ -199,6 +199,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: The pages of the table hold their text in one ``article`` of a heading and paragraphs, so a pattern finds it.
+OP11_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS article FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(article, '</?(?:p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS blocks FROM a),
+c AS (
+  SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''),
+    '&amp;?', '&', 'g'), '[\s\x0B\x{A0}]+', ' ', 'g'))) AS blocks FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x != ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     got = repair.digests(repair.repair(repair.damaged(rows)))
@@ -296,9 +312,10 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_mix": op9_mix,
     "op10_language": op10_language,
+    "op11_html": op11_html,
     "op12_repair": op12_repair,
     "op13_fim": op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_substring": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_mix": OP9_SQL,
-                              "op12_repair": OP12_SQL, "op13_fim": OP13_SQL}
+                              "op11_html": OP11_SQL, "op12_repair": OP12_SQL, "op13_fim": OP13_SQL}
