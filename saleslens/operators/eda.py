@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.calendar import weekday_label
 from ..functions.text import unique_id
+from .selection import exact_percentiles
 from .temporal import event_distances, rolling_corr
 
 
@@ -37,13 +38,17 @@ def analyze_store_family_combinations(df: DataFrame, sparse_above: float = 0.9)
 def sales_distribution(df: DataFrame, column: str = "sales") -> DataFrame:
     """One row: mean, median, std, min, max, skewness and excess kurtosis (sample-corrected)."""
     x = F.col(column)
-    return df.agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-                  stats.sample_skewness(x).alias("skewness"), stats.sample_kurtosis(x).alias("kurtosis"))
+    rest = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), stats.sample_skewness(x).alias("skewness"), stats.sample_kurtosis(x).alias("kurtosis"))
+    median = F.broadcast(exact_percentiles(df, column, [0.5]).select(F.lit(1).alias("__one"), F.col("q")[0].alias("median")))  # a row each
+    return rest.withColumn("__one", F.lit(1)).join(median, "__one", "left").select("mean", "median", "std", "min", "max", "skewness", "kurtosis")
 
 
 def family_distribution(df: DataFrame, column: str = "sales") -> DataFrame:
     x = F.col(column)
-    return df.groupBy("family").agg(*[F.bround(f(x), 2).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]).orderBy(F.desc("mean"))
+    rest = df.groupBy("family").agg(*[f(x).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    medians = exact_percentiles(df, column, [0.5], ["family"]).select(F.col("family").alias("__f"), F.col("q")[0].alias("median"))
+    out = rest.join(medians, F.col("family").eqNullSafe(F.col("__f")), "left")
+    return out.select("family", *[F.bround(c, 2).alias(c) for c in ("mean", "median", "std", "min", "max")]).orderBy(F.desc("mean"))
 
 
 def histogram(df: DataFrame, column: str = "sales", bins: int = 100, log: bool = False) -> DataFrame:
@@ -60,9 +65,11 @@ def histogram(df: DataFrame, column: str = "sales", bins: int = 100, log: bool =
 
 def family_boxplot(df: DataFrame, top: int = 15) -> DataFrame:
     """Quartiles of the ``top`` families by mean."""
-    q = F.percentile("sales", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = df.groupBy("family").agg(F.avg("sales").alias("mean"), q.alias("q")).orderBy(F.desc("mean"), "family").limit(top)
-    return rows.select("family", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    best = df.groupBy("family").agg(F.avg("sales").alias("mean")).orderBy(F.desc("mean"), "family").limit(top)
+    rows = df.join(F.broadcast(best.select(F.col("family").alias("__f"))), F.col("family").eqNullSafe(F.col("__f")), "left_semi")
+    quartiles = exact_percentiles(rows, "sales", [0.25, 0.5, 0.75], ["family"]).select(F.col("family").alias("__f"), "q")
+    out = best.join(quartiles, F.col("family").eqNullSafe(F.col("__f")), "left")
+    return out.select("family", "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")).orderBy(F.desc("mean"), "family")
 
 
 def day_of_week_profile(df: DataFrame) -> DataFrame:
@@ -176,11 +183,11 @@ def extreme_values(df: DataFrame, above: float = 10_000, column: str = "sales")
 
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """Count, mean, deviation, min, quartiles and max of numeric columns, exact quartiles."""
-    rows = []
-    for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        rows.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(c).cast("double").alias("max")))
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
+    rest = df.agg(F.array(*each).alias("r")).select(F.inline("r"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("x")).select("x.c", "x.v")
+    q = exact_percentiles(long, "v", [0.25, 0.5, 0.75], ["c"]).select("c", "q")
+    return rest.join(q, F.col("column") == F.col("c"), "left").select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def series_ids(df: DataFrame) -> DataFrame:
