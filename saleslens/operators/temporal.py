@@ -1,17 +1,19 @@
 """Ordered operators over time series: all windows over one series share a single exchange and sort.
 
 A series is a group of ``keys``; the window functions never cross series unless ``across=True``, which reproduces the
-behaviour of rolling over one global order (single task, small data only).
+behaviour of rolling over one global order, dealt out in ranges of it.  Exponential means of series too long for one window
+are put together from chunks of it.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
 KEYS = ("store_nbr", "family")
 UNBOUNDED, CURRENT, END = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
 #: Longest series for which the exponential prefix sums stay finite, by span (the exponent is centred).
@@ -42,44 +44,118 @@ def add_rolling(df: DataFrame, column: str, windows, keys=KEYS, order: str = "da
     """``{column}_rolling_{stat}_{n}`` of the ``n`` rows before each row."""
     if not across:
         return df.withColumns({f"{column}_rolling_{s}_{n}": rolling(F.col(column), s, n, keys, order) for n in windows for s in stats})
-    before = df.withColumn("__before", F.lag(column, 1).over(series(keys, order)))
-    every = Window.orderBy(*keys, order)
-    return before.withColumns({f"{column}_rolling_{s}_{n}": _STATS[s]("__before").over(every.rowsBetween(1 - n, 0)) for n in windows for s in stats}).drop("__before")
+    return _rolled_across(df, column, windows, keys, order, stats)
+
+
+def pieced(df: DataFrame, keys, order: str) -> DataFrame:
+    """``df`` staged with ``__piece``: ranges of the global order (keys, order), of like size, each in one partition."""
+    columns = [*keys, order]
+    return stage(df.repartitionByRange(*columns).withColumn("__piece", F.spark_partition_id().cast("long")), "pieces")
+
+
+def _rolled_across(df: DataFrame, column: str, windows, keys, order: str, stats) -> DataFrame:
+    """Rolling over the global order of all series: every piece gets the last rows of those before it, as many as a window reaches back.
+
+    The number of rows of each piece, a row a partition, is collected.
+    """
+    rows = pieced(df, keys, order)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy("__piece").count().collect())
+    starts = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    reach = max(windows)
+    inside = Window.partitionBy("__piece").orderBy(*keys, order)
+    if not starts:
+        starts = [(0, 0)]
+    place = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(a).cast("long").alias("a")) for p, a in starts])
+    start = F.element_at(F.filter(place, lambda x: x["p"] == F.col("__piece")), 1)["a"]
+    rows = rows.withColumn("__at", start + F.row_number().over(inside) - 1)
+    later = F.filter(place, lambda x: (x["p"] > F.col("__piece")) & (x["a"] <= F.col("__at") + reach))
+    ends = F.create_map(*[F.lit(x) for (p, a), (_, n) in zip(starts, sizes or [(0, 0)], strict=True) for x in (p, a + n)])
+    halo = rows.where(ends[F.col("__piece").cast("int")] - F.col("__at") <= reach).withColumn("__to", F.explode(F.transform(later, lambda x: x["p"])))
+    every = rows.withColumn("__own", F.lit(True)).unionByName(halo.drop("__piece").withColumnRenamed("__to", "__piece").withColumn("__own", F.lit(False)))
+    line = Window.partitionBy("__piece").orderBy("__at")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.lag(k, 1).over(line).eqNullSafe(F.col(k)) & (F.lag(F.lit(1), 1).over(line) == 1)
+    every = every.withColumn("__before", F.when(same, F.lag(column, 1).over(line)))
+    out = every.withColumns({f"{column}_rolling_{s}_{n}": _STATS[s]("__before").over(line.rowsBetween(1 - n, 0)) for n in windows for s in stats})
+    return out.where("__own").drop("__before", "__own", "__at", "__piece")
+
+
+def _longest(span: int) -> int:
+    """Rows of a series for which b^-i, the exponent centred, stays finite."""
+    return int(2 * _MAX_LOG / -math.log(1 - 2 / (span + 1)))
 
 
 def ewm_weight(column: str, span: int, keys=KEYS, order: str = "date") -> Column:
-    """b^-i with b = 1 - 2/(span+1), the exponent centred on the series; a series too long for doubles raises an error."""
-    b = 1 - 2 / (span + 1)
-    limit = int(2 * _MAX_LOG / -math.log(b))
+    """b^-i with b = 1 - 2/(span+1), the exponent centred on the series; for series of at most ``_longest`` rows."""
     n = F.count("*").over(Window.partitionBy(*keys))
-    n = F.when(n <= limit, n).otherwise(F.raise_error(F.lit(f"series of over {limit} rows: use add_ewm_long")).cast("long"))
-    return F.when(F.col(column).isNotNull(), F.pow(F.lit(b), n / 2 - F.row_number().over(series(keys, order))))
+    return F.when(F.col(column).isNotNull(), F.pow(F.lit(1 - 2 / (span + 1)), n / 2 - F.row_number().over(series(keys, order))))
 
 
-def add_ewm(df: DataFrame, column: str, spans, keys=KEYS, order: str = "date") -> DataFrame:
+def add_ewm(df: DataFrame, column: str, spans, keys=KEYS, order: str = "date", rows: int | None = None) -> DataFrame:
     """``{column}_ewm_{span}``: exponentially weighted mean of the rows before, weights b^age, nulls skipped.
 
-    The ratio of the prefix sums of x * b^-i and of b^-i (for longer series: ``add_ewm_long``).
+    The ratio of the prefix sums of x * b^-i and of b^-i; where the longest series has too many ``rows`` for that (counted, if not
+    given), ``add_ewm_long``.
     """
+    if rows is None:
+        rows = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if rows > min(map(_longest, spans)):
+        return add_ewm_long(df, column, spans, keys, order)
     before = series(keys, order).rowsBetween(UNBOUNDED, -1)
     df = df.withColumns({f"__w{s}": ewm_weight(column, s, keys, order) for s in spans})
     df = df.withColumns({f"{column}_ewm_{s}": F.try_divide(F.sum(F.col(column) * F.col(f"__w{s}")).over(before), F.sum(f"__w{s}").over(before)) for s in spans})
     return df.drop(*[f"__w{s}" for s in spans])
 
 
+#: Rows of a chunk of a long series: 3^256, the largest weight (of a span of 2), is a finite double.
+_CHUNK = 256
+
+
+def _aged(b: Column):
+    """A chunk's state when the chunk that starts at ``__start`` begins."""
+    return lambda y: F.struct((y["n"] * F.pow(b, F.col("__start") - y["e"])).alias("n"), (y["d"] * F.pow(b, F.col("__start") - y["e"])).alias("d"))
+
+
 def add_ewm_long(df: DataFrame, column: str, spans, keys=KEYS, order: str = "date") -> DataFrame:
-    """As ``add_ewm`` for series of any length that fit a task each."""
-    schema = df.schema
-    for s in spans:
-        schema = schema.add(f"{column}_ewm_{s}", "double")
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        for s in spans:
-            pdf[f"{column}_ewm_{s}"] = pdf[column].shift(1).ewm(span=s, min_periods=1).mean()
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(smooth, schema)
+    """As ``add_ewm`` for series of any length, whose rows are never in one task; spans from 2.
+
+    Ranges of the order are cut into chunks.  A chunk's state (sums of x * b^age and of b^age at its last row) follows from its own rows; the state
+    before it is the sum of earlier chunks' states, each times b to the rows since: a linear recurrence, of which only chunks within reach count
+    (b^rows above the smallest double); where that many rows before are null, the mean is null.
+    """
+    rows, place, zero = pieced(df, keys, order), ["__piece", "__chunk"], F.lit(0.0)
+    nth = F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(order)) - 1
+    rows = rows.withColumn("__nth", nth).withColumn("__chunk", F.floor(F.col("__nth") / _CHUNK)).withColumn("__i", F.col("__nth") % _CHUNK).drop("__nth")
+    x = F.col(column).cast("double")
+    inside = Window.partitionBy(*keys, *place).orderBy("__i").rowsBetween(UNBOUNDED, -1)
+    base = {s: F.lit(1 - 2 / (s + 1)) for s in spans}
+    weighted = {}
+    for s, b in base.items():
+        w = F.when(x.isNotNull(), F.pow(b, -F.col("__i")))
+        weighted |= {f"__n{s}": x * w, f"__d{s}": w}
+    own = {c: F.coalesce(F.sum(v).over(inside), zero) * F.pow(base[int(c[3:])], F.col("__i") - 1) for c, v in weighted.items()}
+    states = [(F.coalesce(F.sum(v), zero) * F.pow(base[int(c[3:])], F.count("*") - 1)).alias(c) for c, v in weighted.items()]
+
+    totals = rows.groupBy(*keys, *place).agg(F.count("*").alias("__rows"), *states)
+    totals = totals.withColumn("__end", F.sum("__rows").over(Window.partitionBy(*keys).orderBy(*place))).withColumn("__start", F.col("__end") - F.col("__rows"))
+    carried = []
+    for s, b in base.items():
+        reach = math.ceil(745 / -math.log(1 - 2 / (s + 1))) + _CHUNK
+        earlier = Window.partitionBy(*keys).orderBy("__start").rangeBetween(-reach, -1)
+        seen = F.collect_list(F.struct(F.col(f"__n{s}").alias("n"), F.col(f"__d{s}").alias("d"), F.col("__end").alias("e"))).over(earlier)
+        now = F.transform(seen, _aged(b))
+        carried += [F.aggregate(F.transform(now, lambda y: y["n"]), zero, lambda a, v: a + v).alias(f"__n{s}c"), F.aggregate(F.transform(now, lambda y: y["d"]), zero, lambda a, v: a + v).alias(f"__d{s}c")]
+    carry = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"{c}c") for c in place], *carried)
+    same = (F.col("__piece") == F.col("__piecec")) & (F.col("__chunk") == F.col("__chunkc"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rows = rows.withColumns(own).join(carry, same)
+    out = {}
+    for s, b in base.items():
+        n, d = (F.col(f"__{k}{s}") + F.pow(b, F.col("__i")) * F.col(f"__{k}{s}c") for k in "nd")
+        out[f"{column}_ewm_{s}"] = F.when(d > 0, F.try_divide(n, d))
+    return rows.withColumns(out).select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *out)
 
 
 def fill_both_ways(column: str, window) -> Column:
