@@ -1,8 +1,8 @@
-"""Folds, baselines, error slices and gradient-boosted trees on Spark ML."""
+"""Folds, baselines, error slices and gradient-boosted trees: leaf-wise ones of ``boosting``, and those of Spark ML."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import boosting
 from . import temporal as t
 from .features import bool_to_int, get_categorical_columns, get_feature_columns
 
@@ -227,12 +228,107 @@ def feature_importance(spark, models: list[PipelineModel]) -> DataFrame:
     for i, m in enumerate(models):
         names = [c.removesuffix("__code") for c in m.stages[-2].getInputCols()]
         rows += [(i, n, float(v)) for n, v in zip(names, m.stages[-1].featureImportances.toArray(), strict=True)]
-    each = spark.createDataFrame(rows, "fold int, feature string, importance double")
+    return importance_table(spark.createDataFrame(rows, "fold int, feature string, importance double"))
+
+
+def importance_table(each: DataFrame) -> DataFrame:
+    """Mean, deviation and percentage per feature of the rows (feature, importance) of several models."""
     mean = each.groupBy("feature").agg(F.avg("importance").alias("importance_mean"), F.stddev_samp("importance").alias("importance_std"))
     total = mean.agg(F.sum("importance_mean")).first()[0] or 0.0
     return mean.withColumn("importance_pct", F.col("importance_mean") / F.lit(total + 1e-10) * 100).orderBy(F.desc("importance_mean"))
 
 
+# Leaf-wise trees
+
+def leafwise_params(**changes) -> boosting.Params:
+    """Steps of 0.05, up to 1,500 trees of at most 63 leaves and depth 10, 50 rows a leaf, L2 of 1, patience of 50 trees."""
+    return boosting.Params(**changes)
+
+
+def final_leafwise_params(**changes) -> boosting.Params:
+    """For the last fit on all rows: up to 2,000 trees and a patience of 100."""
+    return boosting.Params(**({"max_iter": 2000, "patience": 100} | changes))
+
+
+@dataclass
+class Leafwise:
+    """Models by name, all of the same features, and the label codes of the strings among them."""
+
+    features: list[str]
+    categorical: list[str]
+    models: dict[str, boosting.Model]
+    labels: PipelineModel | None = None
+
+
+def _held_share(df: DataFrame, target: str, features: list[str], fraction: float, seed: int) -> Column | None:
+    """The rows whose hash of target and features falls into the first ``fraction``; equal rows stay together."""
+    return F.pmod(F.xxhash64(F.lit(seed), *dict.fromkeys([target, *features])), F.lit(10_000)) < round(fraction * 10_000) if fraction else None
+
+
+def fit_leafwise(df: DataFrame, tasks: Sequence[boosting.Task], target: str = "sales", features: list[str] | None = None, categorical: list[str] | None = None,
+                 params: boosting.Params | None = None) -> Leafwise:
+    """All tasks' models in the same passes over one table of bins; label codes are those of all tasks' training rows."""
+    features = get_feature_columns(df) if features is None else features
+    kinds = dict(df.dtypes)
+    categorical = get_categorical_columns(df) if categorical is None else categorical
+    categorical = [c for c in features if c in categorical or kinds[c] == "string"]
+    flags = {f"__train_{i}": F.coalesce(x.train, F.lit(False)) for i, x in enumerate(tasks)}
+    flags |= {f"__held_{i}": F.coalesce(x.held, F.lit(False)) for i, x in enumerate(tasks) if x.held is not None}
+    flagged = df.withColumns(flags)
+    rows = _texts(model_frame(flagged.where(F.greatest(*[F.col(f"__train_{i}").cast("int") for i in range(len(tasks))], F.lit(0)) > 0), features, [target, *flags]), categorical)
+    labels = fit_labels(rows, categorical) if categorical else None
+    numbers = [f"{c}__code" if c in categorical else c for c in features]
+    ours = [boosting.Task(x.name, F.col(f"__train_{i}") > 0, F.col(f"__held_{i}") > 0 if x.held is not None else None, x.quantile) for i, x in enumerate(tasks)]
+    return Leafwise(features, categorical, boosting.fit(labels.transform(rows) if labels else rows, target, numbers, ours, params), labels)
+
+
+def predict_leafwise(fitted: Leafwise, df: DataFrame, clip_negative: bool = True, names: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the predictions of all models, or of those in ``names`` (model: column)."""
+    names = {n: n for n in fitted.models} if names is None else names
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in names.values()]
+    rows = df.select(F.struct(*keep).alias("__row"), *[F.col(f"`{c}`") for c in fitted.features])
+    rows = _texts(model_frame(rows, fitted.features, ["__row"]), fitted.categorical)
+    rows = fitted.labels.transform(rows) if fitted.labels else rows
+    got = boosting.predict(rows, {column: fitted.models[n] for n, column in names.items()}, clip_negative)
+    return got.select("__row.*", *names.values())
+
+
+def run_cv_leafwise(df: DataFrame, folds: list[Fold] | None = None, target: str = "sales", features: list[str] | None = None, params: boosting.Params | None = None,
+                    early_fraction: float = 0.1) -> tuple[DataFrame, Leafwise, DataFrame]:
+    """(metrics per fold, models by fold, out-of-fold predictions).
+
+    The folds share one table of bins and are trained side by side; each stops on the share ``early_fraction`` of its own training rows.
+    """
+    folds = get_cv_folds(df, folds)
+    if not folds:
+        raise ValueError("no fold has validation rows")
+    features = get_feature_columns(df) if features is None else features
+    seed = (params or boosting.Params()).seed
+    held = _held_share(df, target, features, early_fraction, seed)
+    tasks = []
+    for f in folds:
+        train = F.col("date") <= F.lit(f.train_end)
+        tasks.append(boosting.Task(f.name, train if f.train_start is None else train & (F.col("date") >= F.lit(f.train_start)), held))
+    fitted = fit_leafwise(df, tasks, target, features, params=params)
+    oof = None
+    for f in folds:
+        part = predict_leafwise(fitted, f.validation(df), names={f.name: "pred"}).select("date", *t.KEYS, target, "pred", F.lit(f.name).alias("fold"))
+        oof = part if oof is None else oof.unionByName(part)
+    return oof.groupBy("fold").agg(*stats.all_metrics(F.col(target), F.col("pred"))), fitted, oof
+
+
+def leafwise_importance(spark, fitted: Leafwise) -> DataFrame:
+    """(feature, importance_mean, importance_std, importance_pct) over the models, by the gains of their splits."""
+    rows = [(name, f.removesuffix("__code"), share) for name, m in fitted.models.items() for f, share in m.importance().items()]
+    return importance_table(spark.createDataFrame(rows, "fold string, feature string, importance double"))
+
+
+def train_quantile_models(df: DataFrame, train: Column, quantiles=(0.05, 0.5, 0.95), target: str = "sales", features: list[str] | None = None, params: boosting.Params | None = None) -> Leafwise:
+    """A model with the pinball loss per quantile, named like its column (``pred_q05``), trained side by side on the rows where ``train`` holds."""
+    tasks = [boosting.Task(quantile_name(q), train, quantile=q) for q in quantiles]
+    return fit_leafwise(df, tasks, target, features, params=boosting.quantile_params() if params is None else params)
+
+
 # Intervals
 
 def quantile_name(q: float) -> str:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting
+
 RULE = "=" * 60
 
 
@@ -56,6 +60,17 @@ def save_models(models: list[PipelineModel], folder: str, prefix: str = "model")
     return paths
 
 
+def save_boosted(spark: SparkSession, models: dict[str, boosting.Model], path: str) -> None:
+    """Boosted models by name, a JSON line each, written by Spark so that any file system will do."""
+    rows = [(json.dumps({"name": n, "model": m.to_json()}),) for n, m in models.items()]
+    spark.createDataFrame(rows, "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_boosted(spark: SparkSession, path: str) -> dict[str, boosting.Model]:
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    return {x["name"]: boosting.Model.from_json(x["model"]) for x in lines}
+
+
 _INTEGERS = (("tinyint", 7), ("smallint", 15), ("int", 31))
 
 
