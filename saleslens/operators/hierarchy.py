@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import unique_id
+from ..sources.staging import stage
 from .temporal import densify
 
 LEVELS = ("Total", "Store", "Family", "Bottom")
@@ -143,21 +144,17 @@ def reconcile_forecasts(df: DataFrame, actual: str = "sales", pred: str = "pred"
     return out.select("date", "series_id", "level", actual, F.col(pred).alias(f"{pred}_base"), *names)
 
 
-def shrunk(cov: np.ndarray, shrinkage: float = 0.5) -> np.ndarray:
-    """A covariance drawn towards its diagonal."""
-    return (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov))
-
-
-def residual_covariance(residuals: DataFrame, order: list[str], partitions: int = 64) -> np.ndarray:
-    """Sample covariance of the series named in ``order`` over all dates; (date, series_id, value) rows, missing ones 0, repeated ones summed.
+def residual_covariance(residuals: DataFrame, order: list[str], partitions: int = 64, n_dates: int | None = None) -> np.ndarray:
+    """Sample covariance of the series named in ``order`` over all dates (``n_dates``, if the rows don't show them all); (date, series_id, value) rows, missing ones 0, repeated ones summed.
 
     Dates are vectors in at most ``partitions`` tasks, each of which adds up the products of its dates; only the rows of one n x n matrix
     reach the driver, so what it gets depends on the number of series alone.
     """
     n, place = len(order), {name: i for i, name in enumerate(order)}
-    values = residuals.groupBy("date", "series_id").agg(F.sum("value").alias("value"))
-    sums = {r.series_id: r.s for r in values.groupBy("series_id").agg(F.sum("value").alias("s")).collect() if r.series_id in place}
-    n_dates = residuals.select("date").distinct().count()
+    listed = F.broadcast(residuals.sparkSession.createDataFrame([(name,) for name in order], "series_id string"))
+    values = residuals.join(listed, "series_id", "left_semi").groupBy("date", "series_id").agg(F.sum("value").alias("value"))
+    sums = {r.series_id: r.s for r in values.groupBy("series_id").agg(F.sum("value").alias("s")).collect()}
+    n_dates = residuals.select("date").distinct().count() if n_dates is None else n_dates
     mean = np.array([sums.get(name) or 0.0 for name in order]) / max(n_dates, 1)
     vectors = values.groupBy("date").agg(F.collect_list(F.struct("series_id", F.coalesce("value", F.lit(0.0)).alias("value"))).alias("v"))
 
@@ -186,49 +183,97 @@ def residual_covariance(residuals: DataFrame, order: list[str], partitions: int
     return out / max(n_dates - 1, 1)
 
 
-def summing_matrix(stores: list, families: list) -> np.ndarray:
-    """Rows: total, stores, families, bottoms (store by store); columns: bottoms."""
-    n_s, n_f = len(stores), len(families)
-    return np.vstack([np.ones((1, n_s * n_f)), np.kron(np.eye(n_s), np.ones((1, n_f))), np.kron(np.ones((1, n_s)), np.eye(n_f)), np.eye(n_s * n_f)])
-
-
-def projection(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """G = (S'W^-1 S)^-1 S'W^-1; pseudo-inverses where a matrix is singular."""
-    def inverse(x: np.ndarray) -> np.ndarray:
-        try:
-            return np.linalg.inv(x)
-        except np.linalg.LinAlgError:
-            return np.linalg.pinv(x)
-    sw = s.T @ inverse(w)
-    return inverse(sw @ s) @ sw
-
-
-def mint_shrink(base: DataFrame, residuals: DataFrame, max_series: int = 5000) -> DataFrame:
-    """MinTrace with a shrunk residual covariance: (date, store_nbr, family, reconciled).
-
-    ``base`` and ``residuals`` are long: (date, level, series_id, value).  The matrix is n x n in the series of the hierarchy, so
-    their number is limited; dates are reconciled in parallel.
+#: Forecast dates whose sums are added up in one aggregate.
+_DATES = 32
+
+
+class _Uppers:
+    """The upper series of a crossed hierarchy: total, stores, families, numbered in this order."""
+
+    def __init__(self, base: DataFrame, most: int):
+        named = base.where("level != 'Bottom'").select("series_id").distinct()
+        names = [r.series_id for r in named.limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"over {most} upper series (use reconcile_min_trace)")
+        self.stores = sorted(n.removeprefix("Store_") for n in names if n.startswith("Store_"))
+        self.families = sorted(n.removeprefix("Family_") for n in names if n.startswith("Family_"))
+        self.names = ["Total", *[f"Store_{x}" for x in self.stores], *[f"Family_{x}" for x in self.families]]
+        make = base.sparkSession.createDataFrame
+        self.table = F.broadcast(make(list(zip(self.names, range(len(self.names)), strict=True)), "series_id string, u int"))
+        self.store_table = F.broadcast(make([(x, 1 + i) for i, x in enumerate(self.stores)], "__store string, __us int"))
+        self.family_table = F.broadcast(make([(x, 1 + len(self.stores) + i) for i, x in enumerate(self.families)], "__family string, __uf int"))
+
+    def bottoms(self, rows: DataFrame) -> DataFrame:
+        """The bottom rows with the numbers of their store and family; series of others are left out."""
+        store = F.substring_index("series_id", "_", 1)
+        parts = rows.withColumn("__store", store).withColumn("__family", F.substring(F.col("series_id"), F.length(store) + 2, F.length("series_id")))
+        return parts.join(self.store_table, "__store").join(self.family_table, "__family")
+
+    def incoherence(self, rows: DataFrame) -> DataFrame:
+        """(date, series_id, value): how far each upper series is from the sum of its bottom series."""
+        up = rows.join(self.table, "series_id").select("date", "u", "value")
+        down = self.bottoms(rows).select("date", F.explode(F.array(F.lit(0), "__us", "__uf")).alias("u"), (-F.col("value")).alias("value"))
+        return up.unionByName(down).groupBy("date", "u").agg(F.sum("value").alias("value")).join(self.table, "u").select("date", "series_id", "u", "value")
+
+
+def _matrix(rows: DataFrame, n: int) -> tuple[list, np.ndarray]:
+    """Dates in order and the matrix date x upper series of (date, u, value)."""
+    found = rows.groupBy("date").agg(F.collect_list(F.struct("u", "value")).alias("v")).orderBy("date").collect()
+    out = np.zeros((len(found), n))
+    for i, r in enumerate(found):
+        for x in r.v:
+            out[i, x.u] = x.value or 0.0
+    return [r.date for r in found], out
+
+
+def mint_shrink(base: DataFrame, residuals: DataFrame, max_series: int = 5000, shrinkage: float = 0.5) -> DataFrame:
+    """MinTrace with a residual covariance drawn halfway to its diagonal: (date, store_nbr, family, reconciled), all stores by all families.
+
+    ``base`` and ``residuals`` are long: (date, level, series_id, value), of the latter no level is needed.  With W the covariance of all series and C the constraints
+    (an upper series less its bottom series), (S'W^-1 S)^-1 S'W^-1 y is y - W C'(C W C')^-1 C y.  C W C' is square in the upper series, of which there are at most
+    ``max_series``; W itself is never formed: its diagonal is a variance per series, and the rest acts through the residual rows.  The driver holds C W C' and
+    tables of dates by upper series; bottom series may be as many as stores by families.  Missing rows count as 0; where C W C' is singular, its pseudo-inverse is taken.
     """
-    named = base.select("level", "series_id").distinct()
-    found = named.limit(max_series + 1).count()
-    if found > max_series:
-        raise ValueError(f"over {max_series} series (use reconcile_min_trace)")
-    names = [r.series_id for r in named.collect()]
-    stores = sorted((n.removeprefix("Store_") for n in names if n.startswith("Store_")))
-    families = sorted((n.removeprefix("Family_") for n in names if n.startswith("Family_")))
-    order = ["Total", *[f"Store_{s}" for s in stores], *[f"Family_{f}" for f in families], *[f"{s}_{f}" for s in stores for f in families]]
-    place = {n: i for i, n in enumerate(order)}
-    cov = shrunk(residual_covariance(residuals, order))
-    g = base.sparkSession.sparkContext.broadcast(projection(summing_matrix(stores, families), cov))
-    n_f = len(families)
-
-    def one_date(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.zeros(len(order))
-        np.add.at(y, [place[s] for s in pdf["series_id"]], pdf["value"].to_numpy(float))
-        out = g.value @ y
-        return pd.DataFrame({"date": pdf["date"].iloc[0], "store_nbr": np.repeat([int(s) for s in stores], n_f), "family": families * len(stores), "reconciled": out})
-
-    return base.groupBy("date").applyInPandas(one_date, "date date, store_nbr int, family string, reconciled double")
+    spark, up = base.sparkSession, _Uppers(base, max_series)
+    n = len(up.names)
+    dates = residuals.select("date").distinct().count()
+    errors = stage(up.incoherence(residuals), "mint-errors")
+    known = residuals.groupBy("date", "series_id").agg(F.sum("value").alias("value"))
+    mean = F.sum("value") / F.lit(max(dates, 1))
+    spread = F.count("value") * (F.var_pop("value") + F.pow(F.avg("value") - mean, 2)) + (F.lit(dates) - F.count("value")) * F.pow(mean, 2)
+    variances = stage(known.groupBy("series_id").agg(F.coalesce(spread / F.lit(max(dates - 1, 1)), F.lit(0.0)).alias("v")), "mint-variances")
+
+    own = up.bottoms(variances).select("__us", "__uf", "v")
+    diagonal = np.zeros((n, n))
+    for r in variances.join(up.table, "series_id").select("u", "v").collect():
+        diagonal[r.u, r.u] += r.v
+    for r in own.toLocalIterator():
+        for i in (0, r["__us"], r["__uf"]):
+            for j in (0, r["__us"], r["__uf"]):
+                diagonal[i, j] += r.v
+    w = (1 - shrinkage) * residual_covariance(errors, up.names, n_dates=dates) + shrinkage * diagonal
+    asked, gaps = _matrix(up.incoherence(base), n)
+    try:
+        push = np.linalg.solve(w, gaps.T).T
+    except np.linalg.LinAlgError:
+        push = gaps @ np.linalg.pinv(w, hermitian=True)
+    when, z = _matrix(errors, n)
+    r = (z - z.sum(0) / max(dates, 1)) @ push.T * ((1 - shrinkage) / max(dates - 1, 1))
+
+    blocks = range(0, len(asked), _DATES)
+    pull = F.broadcast(spark.createDataFrame([(d, b // _DATES, [float(x) for x in row[b:b + _DATES]]) for d, row in zip(when, r, strict=True) for b in blocks], "date date, b int, r array<double>"))
+    width = min(_DATES, max(len(asked), 1))
+    moved = up.bottoms(known).join(pull, "date").groupBy("__us", "__uf", "b").agg(*[F.sum(F.col("value") * F.get("r", F.lit(i))).alias(f"m{i}") for i in range(width)])
+    moved = moved.select("__us", "__uf", "b", F.posexplode(F.array(*[f"m{i}" for i in range(width)])).alias("i", "moved"))
+    pushes = spark.createDataFrame([(d, i // _DATES, i % _DATES, [float(x) for x in row]) for i, (d, row) in enumerate(zip(asked, push, strict=True))], "date date, b int, i int, p array<double>")
+    cells = pushes.select("date", "b", "i", "p", F.explode(F.lit(up.stores)).alias("__store")).join(up.store_table, "__store")
+    cells = cells.withColumn("__family", F.explode(F.lit(up.families))).join(up.family_table, "__family")
+    here = up.bottoms(base).groupBy("date", "__us", "__uf").agg(F.sum("value").alias("value"))
+    rows = cells.join(here, ["date", "__us", "__uf"], "left").join(own, ["__us", "__uf"], "left").join(moved, ["__us", "__uf", "b", "i"], "left")
+    pushed = F.get("p", F.lit(0)) + F.get("p", F.col("__us")) + F.get("p", F.col("__uf"))
+    zero = F.lit(0.0)
+    reconciled = F.coalesce("value", zero) + shrinkage * F.coalesce("v", zero) * pushed - F.coalesce("moved", zero)
+    return rows.select("date", F.col("__store").cast("int").alias("store_nbr"), F.col("__family").alias("family"), reconciled.alias("reconciled"))
 
 
 def evaluate_at_levels(df: DataFrame, actual: str = "sales", preds=("pred_base", "pred_BottomUp", "pred_MinTrace_ols")) -> DataFrame:

@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -151,3 +152,27 @@ def test_what_if_scales_forecast_and_interval(spark):
     got = business.what_if(rows, 0.5).first()
     assert (got.lift, got.pred_simulated, got.pred_q05_sim, got.pred_q95_sim) == pytest.approx((3.59, 35.9, 17.95, 71.8))
     assert business.what_if(rows, 0.5, {"no such family": 2.0}).first().lift == pytest.approx(1.5)
+
+
+def test_shrunk_reconciliation_of_20_000_series(spark):
+    """The normal equations S'W^-1 (y - S b) = 0 hold, W^-1 applied by its 30 dates; the largest matrix is that of the 301 upper series."""
+    n_s, n_f, n_t, rng = 200, 100, 30, np.random.default_rng(5)
+    names = np.array(["Total", *[f"Store_{i}" for i in range(n_s)], *[f"Family_f{j}" for j in range(n_f)], *[f"{i}_f{j}" for i in range(n_s) for j in range(n_f)]])
+    n = len(names)
+    scale = np.r_[50.0, np.full(n_s, 5.0), np.full(n_f, 8.0), rng.uniform(0.5, 2, n_s * n_f)]
+    errors, y = rng.normal(size=(n_t, n)) * scale, rng.uniform(1, 9, n)
+    days = np.array([DAY + timedelta(days=i) for i in range(n_t)])
+    long = pd.DataFrame({"date": np.repeat(days, n), "series_id": np.tile(names, n_t), "value": errors.ravel()})
+    base = pd.DataFrame({"date": days[-1], "level": [x.split("_")[0] if x.split("_")[0] in ("Total", "Store", "Family") else "Bottom" for x in names], "series_id": names, "value": y})
+    got = hierarchy.mint_shrink(spark.createDataFrame(base), spark.createDataFrame(long)).toPandas()
+    b = np.zeros((n_s, n_f))
+    b[got["store_nbr"], got["family"].str[1:].astype(int)] = got["reconciled"]
+    assert len(got) == n_s * n_f
+
+    centred = errors - errors.mean(0)
+    d = 0.5 * (centred ** 2).sum(0) / (n_t - 1)
+    u = centred.T / np.sqrt(2 * (n_t - 1))
+    rest = y - np.r_[b.sum(), b.sum(1), b.sum(0), b.ravel()]
+    weighed = rest / d - (u / d[:, None]) @ np.linalg.solve(np.eye(n_t) + u.T @ (u / d[:, None]), u.T @ (rest / d))
+    gradient = weighed[0] + weighed[1:1 + n_s][:, None] + weighed[1 + n_s:1 + n_s + n_f][None, :] + weighed[1 + n_s + n_f:].reshape(n_s, n_f)
+    assert np.abs(gradient).max() < 1e-8 * np.abs(y / d).max()
