@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import unique_id
-from ..operators import eda, hierarchy, models
+from ..operators import boosting, eda, hierarchy, models
 from ..operators.features import create_all_features, prepare_train_val_split
 from ..operators.panel import assemble
 from ..operators.stl import perform_stl_decomposition
@@ -114,6 +114,36 @@ def predict_intervals(spark: SparkSession, processed_dir: str, predictions_dir:
     return spark.read.parquet(path).agg((stats.share(F.col("sales").between(F.col(low), F.col(high))) * 100).alias("coverage_pct"))
 
 
+def train_leafwise(spark: SparkSession, processed_dir: str, predictions_dir: str, models_dir: str, folds: list | None = None, features: list[str] | None = None,
+                   params: boosting.Params | None = None) -> DataFrame:
+    """As ``train_and_evaluate`` with leaf-wise trees: all folds are trained side by side on one table of bins; returns the metrics per fold."""
+    df = readers.load_parquet(spark, f"{processed_dir}/train_features.parquet")
+    _, fitted, oof = models.run_cv_leafwise(df, folds, features=features, params=params)
+    writers.write_parquet(oof, f"{predictions_dir}/oof_predictions.parquet")
+    oof = spark.read.parquet(f"{predictions_dir}/oof_predictions.parquet")
+    writers.write_csv(models.analyze_errors_by_group(oof, "family"), f"{predictions_dir}/error_by_family.csv")
+    writers.save_boosted(spark, fitted.models, f"{models_dir}/leafwise_folds.json")
+    return oof.groupBy("fold").agg(*stats.all_metrics(F.col("sales"), F.col("pred")))
+
+
+def predict_quantile_models(spark: SparkSession, processed_dir: str, predictions_dir: str, models_dir: str, val_start: str = "2017-08-01", val_end: str = "2017-08-15", features: list[str] | None = None,
+                            params: boosting.Params | None = None, point: boosting.Params | None = None, quantiles=(0.05, 0.5, 0.95)) -> DataFrame:
+    """As ``predict_intervals`` with a model of pinball loss per quantile, trained on all rows before ``val_start``; returns the coverage in percent."""
+    first, last = date.fromisoformat(val_start), date.fromisoformat(val_end)
+    df = readers.load_parquet(spark, f"{processed_dir}/train_features.parquet")
+    before = F.col("date") < F.lit(first)
+    fitted = models.train_quantile_models(df, before, quantiles, features=features, params=params)
+    mean = models.fit_leafwise(df, [boosting.Task("pred", before)], features=features, params=point)
+    writers.save_boosted(spark, fitted.models | mean.models, f"{models_dir}/quantile_models.json")
+    val = models.predict_leafwise(mean, df.where(F.col("date").between(F.lit(first), F.lit(last))))
+    out = models.predict_leafwise(fitted, val).withColumn("unique_id", unique_id(F.col("store_nbr"), F.col("family")))
+    path = f"{predictions_dir}/quantile_predictions.parquet"
+    names = list(map(models.quantile_name, quantiles))
+    writers.write_parquet(out.select("date", "store_nbr", "family", "unique_id", "sales", "pred", *names), path)
+    low, high = models.quantile_name(min(quantiles)), models.quantile_name(max(quantiles))
+    return spark.read.parquet(path).agg((stats.share(F.col("sales").between(F.col(low), F.col(high))) * 100).alias("coverage_pct"))
+
+
 def reconcile_and_evaluate(spark: SparkSession, forecasts: DataFrame, predictions_dir: str) -> DataFrame:
     """Bottom forecasts (date, store_nbr, family, sales, pred) to reconciled forecasts and their evaluation by level."""
     path = f"{predictions_dir}/reconciled_forecasts.parquet"
