@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import build_filter, flagged
 from .common import GAP, discard, materialize
 from .graph import connected_components
 from .simhash import fingerprint_links, of_hashes
@@ -201,8 +202,8 @@ def _words_hash(text: Column) -> Column:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the smallest id (null after all others).
 
-    Texts are read for their signatures and again for what stays; only texts of shared buckets are shuffled, and what is staged is narrow.
-    What goes is the smaller part, so the last join removes it, by id and words.
+    Texts are read for their signatures and again for what stays; what is staged is narrow.  Bloom filters of the texts of shared buckets, and of what goes (the
+    smaller part), let only their texts, and false positives, into the shuffles of the joins that decide, the last one by id and words.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     own_id = F.col(f"`{id_col}`")
@@ -219,7 +220,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     once = materialize(buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k", "n", "m"), "neardup-buckets")
     members = materialize(keyed.join(once, "k").select("k", "n", "m", "g"), "neardup-members")
     wanted = materialize(members.select(F.col("g").alias("__wanted")).distinct(), "neardup-wanted")
-    texts = named.select("__g", F.col(f"`{text}`").alias("t")).join(wanted, F.col("__g") == F.col("__wanted"), "left_semi").groupBy(F.col("__g").alias("g")).agg(F.first("t").alias("t"))
+    maybe = flagged(named.select("__g", F.col(f"`{text}`").alias("t")), "__g", *build_filter(wanted, "__wanted")).where("__maybe")
+    texts = maybe.join(wanted, F.col("__g") == F.col("__wanted"), "left_semi").groupBy(F.col("__g").alias("g")).agg(F.first("t").alias("t"))
     sets = materialize(texts.select("g", _set(F.col("t")).alias("set")), "neardup-sets")
     roots = _roots(members, once, sets)
     discard(members, sets, wanted, once, near)
@@ -235,7 +237,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     gone = pair(pairs.join(kept, same, "left_anti"), "neardup-gone")
     again = pair(pairs.where("rows > 1").join(kept, same, "left_semi"), "neardup-again")
     match = (F.col("__g") == F.col("__pg")) & own_id.eqNullSafe(F.col("__pid"))
-    stays = named.join(gone, match, "left_anti")
+    judged = flagged(named, "__g", *build_filter(gone, "__pg"))
+    stays = judged.where("not __maybe").unionByName(judged.where("__maybe").join(gone, match, "left_anti"))
     if again.isEmpty():
         return stays.select(*columns)
     repeats = stays.join(again, match, "left_semi").dropDuplicates(["__g", id_col])

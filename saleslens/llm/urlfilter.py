@@ -2,7 +2,7 @@
 
 The longest rule that fits a URL decides.  Where none fits, the URL's canonical form is looked up in the list: a blocked Bloom
 filter (a 512-bit block per URL, one bit in each of its eight words) lets possible hits through to an exact join, which removes
-false positives; all other rows are decided without a shuffle.  The filter has at most ``MAX_BLOCKS`` blocks (8 MB), so it can
+false positives; all other rows are decided without a shuffle.  The filter's size is bounded (see ``bloom``), so it can
 be broadcast whatever the list's size: a longer list only lets more rows through to the exact join.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule and no canonical form, and is allowed; repeated rows are
@@ -14,13 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import build_filter, flagged
 from .common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS = 8
-MAX_BLOCKS = 1 << 17
-#: Listed URLs per 512-bit block that the filter is sized for.
-PER_BLOCK = 32
 
 Rule = tuple[str, str, str]  # verdict, host, path prefix
 
@@ -54,36 +51,18 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return (none, none) if rule is None else (rule, verdict)
 
 
-def _bits(url: Column) -> list[Column]:
-    g = F.xxhash64(url, F.lit(1))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")) for i in range(WORDS)]
-
-
-def build_filter(urls: DataFrame, url: str = "canonical") -> tuple[DataFrame, int]:
-    """(block, w0..w7) of the listed URLs, and the number of blocks."""
-    n = urls.count()
-    blocks = max(1, min(MAX_BLOCKS, -(-n // PER_BLOCK)))
-    rows = urls.select(F.pmod(F.xxhash64(url), F.lit(blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(F.col(url)))])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", listed_url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict (allow or block); columns of these names are replaced."""
     outs = {"host", "path", "rule", "verdict"}
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in outs]
     urls = materialize(listed.select(canonical(F.col(f"`{listed_url}`")).alias("canonical")).where("canonical is not null").distinct(), "url-list")
-    table, blocks = build_filter(urls)
+    table, blocks = build_filter(urls, "canonical")
 
     u = F.col(f"`{url}`")
     rows = pages.select(*kept, u.alias("__url"), host_of(u).alias("host"), path_of(u).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select(*kept, "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.when(verdict.isNull(), canonical(F.col("__url"))).alias("__canonical"))
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__canonical"), F.lit(blocks)))
-    passed = F.lit(True)
-    for i, b in enumerate(_bits(F.col("__canonical"))):
-        passed = passed & (F.col(f"__in_w{i}").bitwiseAND(b) == b)
-    rows = rows.join(F.broadcast(table.select(*[F.col(c).alias(f"__in_{c}") for c in table.columns])), F.col("__canonical").isNotNull() & (F.col("__block") == F.col("__in_block")), "left")
-    rows = rows.withColumn("__maybe", F.coalesce(passed & F.col("__in_block").isNotNull() & F.col("__canonical").isNotNull(), F.lit(False)))
+    rows = flagged(rows, "__canonical", table, blocks)
     outs_now = [F.col(c) for c in ("host", "path", "rule")]
     clear = rows.where("not __maybe").select(*kept, *outs_now, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     exact = rows.where("__maybe").join(urls.select(F.col("canonical").alias("__entry"), F.lit(True).alias("__listed")), F.col("__canonical") == F.col("__entry"), "left")

@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from saleslens.llm import urlfilter
+from saleslens.llm import bloom, urlfilter
 from saleslens.llm.queries import RULES
 
 
 @pytest.mark.parametrize("per_block", [1, 32, 10_000])
 def test_list_is_exact(spark, monkeypatch, per_block):
-    monkeypatch.setattr(urlfilter, "PER_BLOCK", per_block)
+    monkeypatch.setattr(bloom, "PER_BLOCK", per_block)
     pages = spark.createDataFrame([(i, f"http://h{i % 50}.org/p{i}?b=2&a=1") for i in range(3000)], "page_id long, url string")
     listed = spark.createDataFrame([(f"HTTPS://H{i % 50}.org:443/p{i}/?a=1&utm_x=9&b=2#f",) for i in range(0, 3000, 3)] + [(None,), ("nothing",)], "url string")
     got = {r.page_id: r.verdict for r in urlfilter.judge(pages, listed, []).collect()}
@@ -19,16 +19,13 @@ def test_list_is_exact(spark, monkeypatch, per_block):
 @pytest.mark.parametrize("per_block", [32, 512])
 def test_false_positives_reach_the_exact_join_only(spark, monkeypatch, per_block):
     """Of 20,000 URLs that aren't listed, the filter lets some through; all end as allowed.  Repeated rows are judged alike."""
-    monkeypatch.setattr(urlfilter, "PER_BLOCK", per_block)
+    monkeypatch.setattr(bloom, "PER_BLOCK", per_block)
     listed = spark.range(20_000).select(F.concat(F.lit("http://h.org/l"), "id").alias("url"))
     pages = spark.range(20_000).select("id", F.concat(F.lit("http://h.org/p"), "id").alias("url"))
     pages = pages.unionByName(pages.where("id < 10")).unionByName(listed.select(F.lit(-1).alias("id"), "url"))
-    table, blocks = urlfilter.build_filter(listed.select(urlfilter.canonical(F.col("url")).alias("canonical")))
-    probe = pages.where("id >= 0").select(urlfilter.canonical(F.col("url")).alias("c")).withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks))).join(table, "block")
-    passed = F.lit(True)
-    for i, bit in enumerate(urlfilter._bits(F.col("c"))):
-        passed = passed & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    false = probe.where(passed).count()
+    table, blocks = bloom.build_filter(listed.select(urlfilter.canonical(F.col("url")).alias("c")), "c")
+    probe = pages.where("id >= 0").select(urlfilter.canonical(F.col("url")).alias("c"))
+    false = bloom.flagged(probe, "c", table, blocks).where("__maybe").count()
     assert 0 < false < (2000 if per_block == 32 else 20_010)
     got = urlfilter.judge(pages, listed, []).groupBy((F.col("id") < 0).alias("listed"), "verdict").count().collect()
     assert {(r.listed, r.verdict, r["count"]) for r in got} == {(False, "allow", 20_010), (True, "block", 20_000)}
