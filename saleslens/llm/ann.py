@@ -6,7 +6,7 @@ vectors.  Over-full clusters are split until lists are balanced.  Every vector i
 boundary, into those of up to ``REPLICAS`` - 1 others within a ratio of that distance, in whichever cell they are.  A query searches the
 graphs for its nearest cells and their nearest lists, keeps those within a ratio of the nearest distance, and scans them exactly in double
 precision; numbers and ratios are tuned for a wanted recall by the true neighbours of ``TUNED`` queries in the whole table.  Queries whose lists
-hold too few vectors are answered exactly.
+hold too few vectors read more lists, and those for which that isn't enough either are answered exactly.
 
 Inner products are searched as distances: a vector x becomes (x, sqrt(M^2 - |x|^2)), M the largest norm, a query (q M / |q|, 0).
 Equal vectors are one class in the index (with as many smallest ids as an answer can need), so copies fill no list.  Neighbouring lists
@@ -35,6 +35,8 @@ REPLICAS, BOUNDARY = 4, 1.1
 BEAM, DEGREE = 32, 24
 #: Recall that queries are tuned for, queries that it is tuned on, cells that they look at meanwhile, and lists that any query reads at least.
 RECALL, TUNED, WIDE, LEAST_LISTS = 0.96, 256, 64, 4
+#: How many times as many lists queries read in turn whose own hold too few vectors, before they are answered exactly.
+MORE = (8, 64)
 #: Neighbouring lists that are scanned together, and rows of such a group, and queries of it, that meet in one call.
 GROUP, SHARD = 64, 16384
 
@@ -289,22 +291,35 @@ def exact(vecs: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> Data
 
 
 def tune(index: Index, vecs: DataFrame, asked: DataFrame, postings: DataFrame, k: int, recall: float) -> tuple[int, float, int, float]:
-    """(cells, ratio of cells, lists, ratio of lists) with which ``TUNED`` queries find ``recall`` of their true neighbours in the whole table."""
-    some = asked.orderBy(F.xxhash64("c", F.lit(3))).limit(TUNED)
-    rows = [(r.c, list(r.v)) for r in some.select("c", "v").collect()]
+    """(cells, ratio of cells, lists, ratio of lists) with which ``TUNED`` queries find ``recall`` of their true neighbours in the whole table.
+
+    Queries look at ever more cells until all but a quarter of 1 - ``recall`` of the neighbours are seen; those that aren't count as infinitely far.
+    """
+    some = materialize(asked.orderBy(F.xxhash64("c", F.lit(3))).limit(TUNED).select("c", "v"), "ann-tuned")
+    rows = [(r.c, list(r.v)) for r in some.collect()]
     true = materialize(exact(vecs, rows, k).select("q", "c"), "ann-true")
-    wide = index.place(index.route(some, min(index.n_cells, WIDE), np.inf, queries=True), WIDE * 16, np.inf, queries=True)
-    held = true.join(postings.select("c", "cell", "list"), "c")
-    seen = held.join(wide.select(F.col("c").alias("q"), "cell", "list", "cell_rank", "cell_ratio", "rank", "ratio"), ["q", "cell", "list"])
-    best = seen.groupBy("q", "c").agg(F.min_by(F.struct("cell_rank", "cell_ratio", "rank", "ratio"), "rank").alias("b")).select("b.*").toPandas()  # TUNED * k rows at most
-    if not len(best):
+    held = materialize(true.join(postings.select("c", "cell", "list"), "c"), "ann-held")
+    n, n_lists, part = true.count(), index.lists.count(), 1 - (1 - recall) / 4
+    if not n:
         return WIDE, float("inf"), WIDE, float("inf")
-    part = 1 - (1 - recall) / 4
+    cells = min(index.n_cells, WIDE)
+    while True:
+        most = n_lists if cells == index.n_cells else 16 * cells
+        wide = index.place(index.route(some, cells, np.inf, queries=True), most, np.inf, queries=True)
+        seen = held.join(wide.select(F.col("c").alias("q"), "cell", "list", "cell_rank", "cell_ratio", "rank", "ratio"), ["q", "cell", "list"])
+        best = seen.groupBy("q", "c").agg(F.min_by(F.struct("cell_rank", "cell_ratio", "rank", "ratio"), "rank").alias("b")).select("b.*").toPandas()  # TUNED * k rows at most
+        if len(best) > part * n or cells == index.n_cells:
+            break
+        cells = min(index.n_cells, 2 * cells)
 
     def at(column: str) -> float:
-        return float(np.quantile(best[column], part, method="higher"))
+        missed = np.full(n - len(best), np.inf)  # true neighbours in lists farther than those looked at
+        return float(np.quantile(np.r_[best[column].to_numpy(float), missed], part, method="higher"))
 
-    return int(at("cell_rank")) + 1, at("cell_ratio"), int(at("rank")), at("ratio")
+    reach = at("cell_rank")
+    if not np.isfinite(reach):
+        return index.n_cells, float("inf"), n_lists, float("inf")
+    return int(reach) + 1, at("cell_ratio"), int(at("rank")), at("ratio")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec: str = "embedding", list_size: int = LIST_SIZE,
@@ -331,23 +346,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     postings = index.place(index.route(vecs, REPLICAS, BOUNDARY), REPLICAS, BOUNDARY)
     asked = materialize(vecs.join(queries.select("c").distinct(), "c", "left_semi"), "ann-asked")
     cells, cell_ratio, lists, ratio = tune(index, vecs, asked, postings, k, recall)
-    wanted = index.place(index.route(asked, cells, cell_ratio, queries=True), max(lists, LEAST_LISTS), ratio, queries=True, least=LEAST_LISTS)
-
     def by_group(x: DataFrame) -> DataFrame:
         return x.groupBy("c", "g").agg(F.collect_list("list").alias("lists"))
 
-    postings, wanted = materialize(by_group(postings), "ann-postings"), materialize(by_group(wanted), "ann-probes")
-    # A row per group of lists: shards of each group and of its queries.
-    shards = materialize(postings.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("vs"))
-                         .join(wanted.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("qs")), "g"), "ann-shards")
+    postings, keep = materialize(by_group(postings), "ann-postings"), k + 1
     by = ["g", "vs", "qs"]
 
-    def dealt(x: DataFrame, own: str, other: str) -> DataFrame:
-        return (x.join(shards, "g").withColumn(own, F.pmod(F.xxhash64("c"), F.col(own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).join(vecs, "c").select(*[F.col(n).alias(n) for n in (*by, "c", "lists", "v")]))
-
-    keep = k + 1
-
     def scan(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
             return pd.DataFrame({"q": [], "c": [], "score": []})
@@ -364,11 +368,33 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         out = pd.DataFrame({"q": q["c"].to_numpy()[at_q], "c": names[at_v], "score": score})
         return out.sort_values(["q", "score", "c"], ascending=[True, False, True]).groupby("q", sort=False).head(keep)
 
-    found = dealt(postings, "vs", "qs").groupBy(*by).cogroup(dealt(wanted, "qs", "vs").groupBy(*by)).applyInPandas(scan, "q long, c long, score double")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    found = materialize(found.withColumn("at", F.row_number().over(top)).where(F.col("at") <= keep).drop("at"), "ann-found")
-    found = with_short_queries(found, vecs, asked, min(keep, stats.n), keep)
+    def search(some: DataFrame, cells: int, cell_ratio: float, lists: int, ratio: float, least: int) -> DataFrame:
+        """(q, c, score): the best of each query in its nearest lists."""
+        wanted = index.place(index.route(some, cells, cell_ratio, queries=True), lists, ratio, queries=True, least=least)
+        wanted = materialize(by_group(wanted), "ann-probes")
+        # A row per group of lists: shards of each group and of its queries.
+        shards = materialize(postings.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("vs"))
+                             .join(wanted.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("qs")), "g"), "ann-shards")
+
+        def dealt(x: DataFrame, own: str, other: str) -> DataFrame:
+            return (x.join(shards, "g").withColumn(own, F.pmod(F.xxhash64("c"), F.col(own)).cast("int"))
+                    .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).join(vecs, "c").select(*[F.col(n).alias(n) for n in (*by, "c", "lists", "v")]))
+
+        found = dealt(postings, "vs", "qs").groupBy(*by).cogroup(dealt(wanted, "qs", "vs").groupBy(*by)).applyInPandas(scan, "q long, c long, score double")
+        found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
+        top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+        return materialize(found.withColumn("at", F.row_number().over(top)).where(F.col("at") <= keep).drop("at"), "ann-found")
+
+    enough = min(keep, stats.n)
+    found = search(asked, cells, cell_ratio, max(lists, LEAST_LISTS), ratio, LEAST_LISTS)
+    for more in MORE:  # lists for the queries whose own hold too few vectors
+        short = short_queries(found, asked, enough)
+        if short.isEmpty():
+            break
+        least = LEAST_LISTS * more
+        again = search(short, min(index.n_cells, max(cells, more)), float("inf"), max(lists, least), ratio, least)
+        found = materialize(found.join(short.select(F.col("c").alias("q")), "q", "left_anti").unionByName(again), "ann-found")
+    found = with_short_queries(found, vecs, asked, enough, keep)
 
     ids = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
     ids = ids.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("at") <= keep)
@@ -378,19 +404,24 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     return own.select(F.col("id").alias("query_id"), rank.alias("rank"), F.col("near").alias(id_col), "score").where(F.col("rank") <= k)
 
 
-def with_short_queries(found: DataFrame, vecs: DataFrame, asked: DataFrame, enough: int, keep: int, step: int = 1024) -> DataFrame:
-    """``found`` with the answers of queries whose lists held fewer than ``enough`` classes replaced by those of an exact search, block by block."""
+def short_queries(found: DataFrame, asked: DataFrame, enough: int) -> DataFrame:
+    """The (c, v) of ``asked`` that have fewer than ``enough`` answers."""
     full = found.groupBy("q").count().where(F.col("count") >= enough)
-    short = materialize(asked.join(full, F.col("c") == F.col("q"), "left_anti").select("c", "v").withColumn("block", F.pmod(F.xxhash64("c"), F.lit(1 << 16))), "ann-short")
+    return materialize(asked.join(full, F.col("c") == F.col("q"), "left_anti").select("c", "v"), "ann-short")
+
+
+def with_short_queries(found: DataFrame, vecs: DataFrame, asked: DataFrame, enough: int, keep: int, step: int = 512) -> DataFrame:
+    """``found`` with the answers of queries whose lists held fewer than ``enough`` classes replaced by those of an exact search, in blocks of about ``step`` queries."""
+    short = short_queries(found, asked, enough)
     n = short.count()
     parts = [found] if n == 0 else [found.join(short.select(F.col("c").alias("q")), "q", "left_anti")]
-    blocks = max(1, -(-2 * n // step))
-    for i in range(blocks if n else 0):
-        rows = [(r.c, list(r.v)) for r in short.where(F.col("block") % blocks == i).limit(2 * step).collect()]
+    blocks = -(-n // step)
+    for i in range(blocks):
+        rows = [(r.c, list(r.v)) for r in short.where(F.pmod(F.xxhash64("c", F.lit(4)), F.lit(blocks)) == i).collect()]
         if rows:
             own = vecs.join(F.broadcast(vecs.sparkSession.createDataFrame([(r[0],) for r in rows], "q long")), F.col("c") == F.col("q"))
             itself = own.select("q", "c", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("score"))
-            parts += [exact(vecs, rows, keep), itself]
+            parts.append(materialize(exact(vecs, rows, keep).unionByName(itself), "ann-exact"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select("q", "c", "score"))

@@ -48,6 +48,21 @@ def test_recall_over_many_lists(spark, n, dim, list_size):
     assert sum(len(found[q] & {v for v, _ in t}) for q, t in true.items()) >= 0.9 * n
 
 
+def test_recall_with_more_cells_than_tuning_looks_at_first(spark):
+    """Vectors without clusters, whose neighbours lie in many cells, in over 100 cells."""
+    rng = np.random.default_rng(11)
+    n = 12_000
+    x = rng.normal(size=(n, 48)).round(4)
+    df = table(spark, x, "vec_id long, embedding array<double>").cache()
+    assert ann.Index(df.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v")), n, float(np.sqrt((x * x).sum(1)).max()), ann.SAMPLE, 1).n_cells > 100
+    got = ann.nearest(df, F.col("vec_id") % 40 == 0, list_size=1).toPandas()
+    true = true_neighbours(list(range(n)), x, list(range(0, n, 40)), 20)
+    found = {q: set(g["vec_id"]) for q, g in got.groupby("query_id")}
+    assert all(len(found[q]) == 20 for q in true)
+    assert sum(len(found[q] & {v for v, _ in t}) for q, t in true.items()) >= 0.9 * n / 40 * 20
+    df.unpersist()
+
+
 def test_lists_are_balanced_and_grow_with_the_table(spark):
     rng = np.random.default_rng(5)
     for n in (2000, 16_000):
