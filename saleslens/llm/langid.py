@@ -1,16 +1,17 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-``fit_dictionaries`` gathers a bounded sample of labelled texts per language and joins it to one raw-content
+``fit_dictionaries`` cuts the whole of every labelled text into blocks, gathers a bounded sample of them per language and joins it to one raw-content
 zstandard dictionary for each.  ``identify`` compresses every whole text, in blocks, with every
 dictionary and picks the smallest total.  Only text enters a prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; equal totals go to
-the language first by code point; with no learned language all is ``und``; with one, its score is 1.
+the language first by code point; with no learned language all is ``und``; with one, its score is 1; repeated rows are sampled and judged alike.
 Existing columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -32,22 +33,29 @@ class LanguageModel:
     dictionaries: dict[str, bytes]
 
 
-def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None,
-                     docs_per_lang: int = 200, chars_per_doc: int = 2048) -> LanguageModel:
-    """Learn one dictionary per non-null ``lang`` from at most ``docs_per_lang`` texts, ``chars_per_doc`` characters
-    of each (this bound makes the sample and the broadcast small whatever the table's size).
+#: Sampled blocks per language, characters of a block, and languages, at most: with these no dictionary exceeds 0.4 million characters.
+BLOCKS, BLOCK_CHARS, MAX_LANGUAGES = 400, 1024, 256
 
-    Texts are taken in the pseudo-random but fixed ``order`` (default: hash of the text); the row_number filter is
-    applied before the shuffle by Spark's window group limit, so a language with most rows is no hot spot.
+
+def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, blocks_per_lang: int = BLOCKS,
+                     block_chars: int = BLOCK_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Learn one dictionary per non-null ``lang`` from at most ``blocks_per_lang`` blocks of ``block_chars`` characters (this bound makes
+    the sample and the broadcast small whatever the table's size); over ``max_languages`` languages are an error.
+
+    Every block with a letter of every text may be drawn: those with the smallest MD5 of ``order`` (default: hash of the text) and block number are taken, so
+    no part of a text is preferred.  The row_number filter is applied before the shuffle by Spark's window group limit, so a language with most rows is no hot spot.
     """
-    by = order if order is not None else F.xxhash64(text)
-    rows = (labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-            .select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, chars_per_doc).alias("text"), by.alias("at"))
-            .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text")))
-            .where(F.col("n") <= docs_per_lang).select("lang", "n", "text").collect())
+    by = (order if order is not None else F.xxhash64(text)).cast("string")
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block_chars}}}"), F.lit(0))
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), by.alias("by"), F.posexplode(cut).alias("b", "text")).where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.md5(F.concat_ws(":", "by", F.col("b").cast("string")).cast("binary")).alias("at"), "text")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("n") <= blocks_per_lang).select("lang", "n", "text")
+    taken = rows.limit(max_languages * blocks_per_lang + 1).collect()
     parts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, -r.n)):
+    for r in sorted(taken, key=lambda r: (r.lang, -r.n)):
         parts.setdefault(r.lang, []).append(r.text)
+    if len(parts) > max_languages or len(taken) > max_languages * blocks_per_lang:
+        raise ValueError(f"over {max_languages} languages")
     return LanguageModel({k: b" ".join(map(normalized, parts[k])) for k in sorted(parts)})
 
 
@@ -84,9 +92,10 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", min_margin
     shared = df.sparkSession.sparkContext.broadcast(model.dictionaries)
 
     @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        compressors = _compressors(shared.value, level)
-        return pd.DataFrame([classify(t, compressors) for t in texts], columns=["lang", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compressors = _compressors(shared.value, level)  # once a task
+        for texts in batches:
+            yield pd.DataFrame([classify(t, compressors) for t in texts], columns=["lang", "score"])
 
     got = F.col("__prediction")
     keep = [c for c in df.columns if c.lower() not in {lang_col.lower(), score_col.lower(), rejected_col.lower()}]

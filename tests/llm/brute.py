@@ -275,3 +275,43 @@ def without_passages(docs, window=13):
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
     return out
+
+
+def languages(rows, trains, blocks=400, chars=1024, level=5, piece=1024, margin=0.005):
+    """Language, score and whether rejected of every (doc_id, text, lang), learnt from the rows where ``trains`` holds; only the library's definition is shared, no code."""
+    import hashlib
+    import re
+    import unicodedata
+
+    import xxhash
+    import zstandard
+
+    def letters(text):
+        return any(unicodedata.category(c)[0] == "L" for c in text)
+
+    def plain(text):
+        return b" ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", text.lower().encode()).split())
+
+    drawn = {}
+    for doc_id, text, lang in rows:
+        if lang is None or text is None or not trains(doc_id):
+            continue
+        name = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
+        name -= (1 << 64) * (name >= 1 << 63)
+        for b in range(0, len(text), chars):
+            if letters(text[b:b + chars]):
+                drawn.setdefault(lang, []).append((hashlib.md5(f"{name}:{b // chars}".encode()).hexdigest(), text[b:b + chars]))
+    tools = {}
+    for lang, parts in drawn.items():
+        content = b" ".join(plain(t) for _, t in sorted(parts)[:blocks][::-1])
+        tools[lang] = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    out = {}
+    for doc_id, text, _ in rows:
+        if text is None or not letters(text):
+            out[doc_id] = ("und", 0.0, True)
+            continue
+        raw = plain(text)
+        sizes = sorted((sum(len(tool.compress(raw[i:i + piece])) for i in range(0, len(raw), piece)), lang) for lang, tool in tools.items())
+        score = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+        out[doc_id] = (sizes[0][1], score, score < margin)
+    return out

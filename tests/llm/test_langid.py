@@ -2,8 +2,42 @@
 
 import zlib
 
+import pytest
+
 from saleslens.llm import langid, queries
 
+from . import brute
+
+
+def trains(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5 != 0
+
+
+def test_whole_table_against_plain_version(spark, sf_dir):
+    """Every row of the query, against a version that shares no code with the operator."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = brute.languages(rows, trains)
+    got = queries.op10_language(spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    assert all((r.lang_pred, r.rejected) == want[r.doc_id][::2] and abs(r.score - want[r.doc_id][1]) < 1e-12 for r in got)
+
+
+def test_blocks_are_drawn_from_whole_texts(spark):
+    """A text that opens with another language is learnt from all of its parts; the bound holds; repeated rows and ties."""
+    text = "zzz " * 3000 + "und der schnelle braune fuchs " * 3000
+    df = spark.createDataFrame([(1, text, "de"), (2, "the quick brown fox " * 2000, "en"), (2, "the quick brown fox " * 2000, "en"), (3, None, "en"), (4, "12 34", "xx")], "doc_id long, text string, lang string")
+    model = langid.fit_dictionaries(df, blocks_per_lang=20, block_chars=100)
+    assert set(model.dictionaries) == {"de", "en"} and all(len(d) <= 20 * 101 for d in model.dictionaries.values())
+    assert b"zzz" in model.dictionaries["de"] and b"fuchs" in model.dictionaries["de"]
+    assert langid.fit_dictionaries(df.repartition(5), blocks_per_lang=20, block_chars=100) == model
+    asked = spark.createDataFrame([(1, "fuchs"), (1, "fuchs"), (2, "fuchs")], "doc_id long, text string")
+    same = {(r.lang_pred, r.score, r.rejected) for r in langid.identify(asked, model).collect()}
+    assert len(same) == 1
+    tie = langid.LanguageModel({"b": b"same words", "a": b"same words"})
+    assert {(r.lang_pred, r.score, r.rejected) for r in langid.identify(asked, tie).collect()} == {("a", 0.0, True)}
+    with pytest.raises(ValueError):
+        langid.fit_dictionaries(df, max_languages=1)
+
 
 def test_held_out_accuracy(spark, sf_dir):
     got = queries.op10_language(spark, sf_dir)

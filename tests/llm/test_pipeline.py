@@ -3,7 +3,7 @@
 import zlib
 
 import corpus_pipeline
-from saleslens.llm import langid, pii, queries
+from saleslens.llm import pii, queries
 from saleslens.llm.common import materialize
 
 from . import brute, test_neardup
@@ -12,8 +12,6 @@ from . import brute, test_neardup
 def test_stages_against_definition(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
-    train = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
-    assert train
     now, texts = docs, {}
     for name, stage in corpus_pipeline.STAGES:
         before = [(r.doc_id, r.text, r.source) for r in now.collect()]
@@ -23,10 +21,8 @@ def test_stages_against_definition(spark, sf_dir):
         if name != "mix":
             assert now.columns == columns
         if name == "language":
-            model = langid.fit_dictionaries(docs.where("crc32(cast(doc_id as string)) % 5 != 0"), order=queries.F.xxhash64("doc_id"))
-            c = langid._compressors(model.dictionaries, 5)
-            judged = {i: langid.classify(t, c) for i, t, _ in before}
-            assert kept == sorted(i for i, (lang, score) in judged.items() if lang != "und" and score >= langid.MIN_MARGIN)
+            judged = brute.languages([(r.doc_id, r.text, r.lang) for r in docs.collect()], lambda i: zlib.crc32(str(i).encode()) % 5 != 0)
+            assert kept == sorted(i for i, (_, _, rejected) in judged.items() if not rejected)
         elif name == "near_dedup":
             assert kept == test_neardup.kept([b[:2] for b in before])
         elif name == "decontaminate":
