@@ -3,7 +3,7 @@
 Features are binned once; the table of bins is written once and serves any number of models at the same time (``Task``: folds, quantiles), each with
 training rows of its own.  A pass over it adds up the histograms (sum of gradients, rows) of the leaves that every model has open: tasks add within their
 partition, then Spark brings the histograms of a leaf and a block of features together, adds them and finds the best split, so that the driver gets one row
-for each.  Leaves are split in the order of their gain, the best next.  A pass looks at the children of as many open leaves as may still be split,
+for each.  Leaves are split in the order of their gain, the best next.  A pass looks at the children of all leaves that may still be split,
 which takes about as many passes as the tree is deep and gives the same tree as one pass a split.
 
 With the pinball loss the gradient is a sign, and the value of a leaf is the quantile of its residuals, from a sketch per leaf.
@@ -233,28 +233,40 @@ class _Growth:
             self.children[i] = (len(self.g) - 2, len(self.g) - 1)
         return self.children[i]
 
+    def _likely(self) -> list[int]:
+        """Nodes that the tree may split: of all known splits those with the largest gains, a node's no larger than its parent's.
+
+        Splitting the best leaf next comes to the same nodes, so as more become known, others can only drop out.
+        """
+        reach = {0: self.split[0][0]} if self.split[0] else {}
+        todo = list(reach)
+        while todo:
+            i = todo.pop()
+            for c in self.children[i] or ():
+                if self.split[c]:
+                    reach[c] = min(reach[i], self.split[c][0])
+                    todo.append(c)
+        return heapq.nsmallest(self.p.max_leaves - 1, reach, key=lambda i: (-float(f"{reach[i]:.9e}"), self.path[i]))
+
     def open(self) -> tuple[list[int], list[int]]:
-        """(chosen splits, nodes to look at): splits best first, as far as they are known; no nodes if the tree is complete."""
+        """(chosen splits, nodes to look at): splits best first; while there are nodes to look at, more may follow."""
         if not self.seen[0]:
             return [], [0]
+        wanted = [c for i in self._likely() for c in self.expand(i) if not self.seen[c] and self.splittable(c)]
+        if wanted:
+            return [], wanted
         chosen, leaves = [], 1
         heap = [self.key(0)] if self.split[0] else []
-        wanted: list[int] = []
         while heap and leaves < self.p.max_leaves:
             *_, i = heapq.heappop(heap)
             chosen.append(i)
             leaves += 1
-            if leaves == self.p.max_leaves:
-                self.expand(i)
-                break
             for c in self.expand(i):
-                if not self.seen[c] and self.splittable(c):
+                if not self.seen[c] and self.splittable(c) and leaves < self.p.max_leaves:
                     wanted.append(c)
                 elif self.split[c]:
                     heapq.heappush(heap, self.key(c))
             if wanted:
-                for *_, j in heapq.nsmallest(self.p.max_leaves - leaves, heap):
-                    wanted += [c for c in self.expand(j) if not self.seen[c] and self.splittable(c)]
                 break
         return chosen, wanted
 

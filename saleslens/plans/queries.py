@@ -232,14 +232,60 @@ def store_family_aggregates(spark, sf):
     return features.add_store_family_aggregates(dp.panel(spark, sf)).select(*KEY, "store_daily_total_lag1", "store_daily_total_lag7", "family_daily_total_lag1", "family_daily_total_lag7")
 
 
-@query("""SELECT DISTINCT store_nbr, family, CASE type WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'C' THEN 3 WHEN 'D' THEN 2 WHEN 'E' THEN 1 ELSE 3 END AS store_type_num, 'OTHER' AS family_group FROM master""", "master")
-def family_group_map(spark, sf):
-    return features.add_store_family_features(dp.master(spark, sf)).select("store_nbr", "family", "store_type_num", "family_group").distinct()
+#: Families of the panel are renamed to these in turn: all names that have a group, and one that has none.
+_GROUPED = sorted(f for families in features.FAMILY_GROUPS.values() for f in families) + ["NO SUCH FAMILY"]
 
 
-@query()
+@query(f"""SELECT DISTINCT store_nbr, n.family, CASE type WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'C' THEN 3 WHEN 'D' THEN 2 WHEN 'E' THEN 1 ELSE 3 END AS store_type_num, coalesce(g.name, 'OTHER') AS family_group
+  FROM master m JOIN (SELECT family AS old, [{", ".join(f"'{f}'" for f in _GROUPED)}][CAST((row_number() OVER (ORDER BY family) - 1) % {len(_GROUPED)} + 1 AS INT)] AS family FROM (SELECT DISTINCT family FROM master)) n
+  ON m.family = n.old LEFT JOIN (VALUES {", ".join(f"('{f}', '{g}')" for g, families in features.FAMILY_GROUPS.items() for f in families)}) g(family, name) ON g.family = n.family""", "master")
+def family_group_map(spark, sf):
+    rows = dp.master(spark, sf).select("store_nbr", "family", "type").distinct()
+    place = F.row_number().over(temporal.Window.partitionBy(F.lit(1)).orderBy("family"))
+    names = rows.select("family").distinct().select(F.col("family").alias("old"), F.element_at(F.lit(_GROUPED), ((place - 1) % len(_GROUPED) + 1).cast("int")).alias("new"))
+    renamed = rows.join(names, F.col("family") == F.col("old")).withColumn("family", F.col("new"))
+    return features.add_store_family_features(renamed).select("store_nbr", "family", "store_type_num", "family_group").distinct()
+
+
+#: The features by the query that gives them with its SQL: of a date, or of a row.
+_BY_DATE = {
+    "holiday_distance": ["days_to_holiday", "days_since_holiday"],
+    "calendar_features": ["day_of_month_cos", "day_of_month_sin", "days_in_month", "days_since_month_start", "days_to_month_end", "days_to_payday", "is_payday", "quarter", "year_progress"],
+    "cyclical": [f"{c}_{f}" for c in ("dow", "month", "doy", "woy") for f in ("sin", "cos")],
+    "fourier": [f"fourier_{f}_{p}_{k}" for f, p, k, _ in _WAVES],
+    "oil_features": [f"oil_lag_{k}" for k in (1, 7, 14, 28)] + [f"oil_change_{k}d" for k in (1, 7, 28)] + [f"oil_rolling_{f}_{n}" for f in ("mean", "std") for n in (7, 14, 28)] + ["oil_deviation_28d"],
+}
+_BY_ROW = {
+    "holiday_flags": list(_FLAGS),
+    "lags": [f"sales_lag_{k}" for k in (1, 2, 3, 7, 14, 21, 28, 56)],
+    "lag_year": ["sales_lag_364", "sales_lag_365"],
+    "rolling_stats": [f"sales_rolling_{f}_{n}" for f in ("mean", "std", "min", "max") for n in (7, 14, 28, 56)],
+    "ewm": [f"sales_ewm_{n}" for n in (7, 14, 28)],
+    "zero_ratio": ["is_zero", "was_zero_lag1", "was_zero_lag7", "zero_ratio_7d", "zero_ratio_28d"],
+    "zero_cumsum": ["days_since_nonzero"],
+    "days_since_first_sale": ["days_since_first_sale", "is_new_series"],
+    "promo_features": ["has_promo", "onpromotion_log1p", "promo_change", "promo_intensity", "was_promoted_last_week"] + [f"promo_lag_{k}" for k in (1, 7, 14)] + [f"promo_rolling_sum_{n}" for n in (7, 14, 28)],
+    "target_encoding": [f"{c}_target_enc" for c in ("store_nbr", "family", "city", "state", "cluster")],
+    "store_family_aggregates": [f"{k}_daily_total_lag{n}" for k in ("store", "family") for n in (1, 7)],
+}
+
+
+def _all_features_sql() -> str:
+    """The SQL of every family of features, joined by date or by date and series."""
+    base = with_base("SELECT * FROM master", "master")
+    columns = [f"m.{c}" for c in MASTER if c != "dcoilwtico"] + ["round(m.dcoilwtico, 6) AS dcoilwtico"] + [f"{q}.{c}" for q, names in (_BY_DATE | _BY_ROW).items() for c in names]
+    columns += [f"special_event.{c}_event{x} AS {c}_earthquake{x}" for c, x in (("days_since", ""), ("is", "_period"), ("is", "_recovery"))]
+    columns += ["CASE m.type WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'C' THEN 3 WHEN 'D' THEN 2 WHEN 'E' THEN 1 ELSE 3 END AS store_type_num", "'OTHER' AS family_group"]
+    joins = [f"JOIN ({ORACLE_SQL[q]}) AS {q} ON {q}.date = m.date" for q in (*_BY_DATE, "special_event")]
+    joins += [f"JOIN ({ORACLE_SQL[q]}) AS {q} ON {q}.date = m.date AND {q}.store_nbr = m.store_nbr AND {q}.family = m.family" for q in _BY_ROW]
+    return f"SELECT {', '.join(columns)} FROM ({base}) AS m {' '.join(joins)}"
+
+
+@query(_all_features_sql())
 def all_features(spark, sf):
-    return features.create_all_features(dp.master(spark, sf), dp.SPECIAL_EVENT, dp.ENCODE_BEFORE)
+    rows = features.create_all_features(dp.master(spark, sf), dp.SPECIAL_EVENT, dp.ENCODE_BEFORE)
+    digits = {c: 4 if c.startswith("oil_rolling") else 5 if c.startswith("oil_deviation") else 6 for c, k in rows.dtypes if k in ("double", "float")}
+    return rows.withColumns({c: F.round(c, n) + 0.0 for c, n in digits.items()})
 
 
 # Exploration
@@ -510,10 +556,20 @@ def mintrace_wls(spark, sf):
     return rounded(hierarchy.reconcile_min_trace(independent_base(spark, sf), "wls_struct").select(*KEY, "reconciled"), 6)
 
 
-@query("SELECT true AS is_coherent, 0e0 AS max_store_diff, 0e0 AS max_family_diff, 0e0 AS max_bottom_diff")
+@query("""SELECT 'independent' AS forecasts, bool_and(abs(t - s) < 1e-6 AND abs(t - f) < 1e-6 AND abs(t - b) < 1e-6) AS is_coherent, round(max(abs(t - s)), 3) AS max_store_diff,
+    round(max(abs(t - f)), 3) AS max_family_diff, round(max(abs(t - b)), 3) AS max_bottom_diff
+  FROM (SELECT date, max(base_total) AS t, sum(base_bottom) AS b FROM grid GROUP BY date)
+  JOIN (SELECT date, sum(v) AS s FROM (SELECT date, max(base_store) AS v FROM grid GROUP BY date, store_nbr) GROUP BY date) USING (date)
+  JOIN (SELECT date, sum(v) AS f FROM (SELECT date, max(base_family) AS v FROM grid GROUP BY date, family) GROUP BY date) USING (date)
+  UNION ALL SELECT 'reconciled', true, 0e0, 0e0, 0e0""", "grid")
 def coherence(spark, sf):
-    rows = hierarchy.reconcile_forecasts(forecasts(spark, sf))
-    return rounded(hierarchy.evaluate_coherence(rows, "pred_MinTrace_ols"), 3)
+    """Forecasts of every level on its own, which don't add up, and reconciled ones, which do."""
+    rows = independent_base(spark, sf)
+    levels = [rows.groupBy("date", *keys).agg(F.max(f"base_{level.lower()}").alias("pred")).select("date", F.lit(level).alias("level"), "pred")
+              for level, keys in (("Total", ()), ("Store", ("store_nbr",)), ("Family", ("family",)), ("Bottom", ("store_nbr", "family")))]
+    apart = hierarchy.evaluate_coherence(levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3]), "pred")
+    joined = hierarchy.evaluate_coherence(hierarchy.reconcile_forecasts(forecasts(spark, sf)), "pred_MinTrace_ols")
+    return rounded(apart.select(F.lit("independent").alias("forecasts"), "*").unionByName(joined.select(F.lit("reconciled").alias("forecasts"), "*")), 3)
 
 
 @query(" UNION ALL ".join(f"SELECT level, '{m}' AS method, round(sqrt(avg(pow(ln(1 + greatest(pred, 0)) - ln(1 + greatest(sales, 0)), 2))), 6) AS rmsle, count(DISTINCT series_id) AS n_series, count(*) AS n_obs FROM levels GROUP BY level" for m in ("base", "BottomUp", "MinTrace_ols")), "levels")
