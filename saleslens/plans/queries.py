@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import business, eda, features, hierarchy, models, panel, temporal
+from ..operators import boosting, business, eda, features, hierarchy, models, panel, temporal
 from ..operators.stl import perform_stl_decomposition
+from ..sources.staging import stage
 from . import driver_panel as dp
 from .sql_base import with_base
 
@@ -629,12 +630,16 @@ def _model_rows(spark, sf) -> DataFrame:
 _MODEL_FEATURES = ["dayofweek", "month", "day", "is_weekend", "store_nbr", "onpromotion", "has_promo", "sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_rolling_mean_7", "sales_rolling_mean_28", "promo_lag_7"]
 
 
-def _cv(spark, sf):
-    rows = _model_rows(spark, sf)
+def _folds(rows: DataFrame) -> list[models.Fold]:
+    """The two half-months before the last date, the later one last."""
     last = rows.agg(F.max("date").alias("d")).first()["d"]
     day = models.timedelta(days=1)
-    folds = [models.Fold(f"Fold {i}", None, last - 15 * k * day, last - (15 * k - 1) * day, last - 15 * (k - 1) * day) for i, k in ((1, 2), (2, 1))]
-    return models.run_cv(rows, folds, features=_MODEL_FEATURES)
+    return [models.Fold(f"Fold {i}", None, last - 15 * k * day, last - (15 * k - 1) * day, last - 15 * (k - 1) * day) for i, k in ((1, 2), (2, 1))]
+
+
+def _cv(spark, sf):
+    rows = _model_rows(spark, sf)
+    return models.run_cv(rows, _folds(rows), features=_MODEL_FEATURES)
 
 
 @query()
@@ -654,6 +659,34 @@ def quantile_intervals(spark, sf):
     return models.predict_quantiles(oof.where("fold = 'Fold 2'"), residuals).select(*KEY, "sales", "pred", "pred_q05", "pred_q50", "pred_q95")
 
 
+#: Trees of the registered leaf-wise queries; the library's own numbers are in ``leafwise_params`` and ``quantile_params``.
+_TREES = 5
+
+
+def _leafwise(spark, sf):
+    rows = stage(_model_rows(spark, sf), "model-rows")
+    return models.run_cv_leafwise(rows, _folds(rows), features=_MODEL_FEATURES, params=models.leafwise_params(max_iter=_TREES), early_fraction=0.0)
+
+
+@query()
+def leafwise_cv(spark, sf):
+    return _leafwise(spark, sf)[0]
+
+
+@query()
+def leafwise_importance(spark, sf):
+    return models.leafwise_importance(spark, _leafwise(spark, sf)[1])
+
+
+@query()
+def quantile_boosting(spark, sf):
+    """The last half-month with quantiles of models trained on all days before it."""
+    rows = stage(_model_rows(spark, sf), "model-rows")
+    fold = _folds(rows)[1]
+    fitted = models.train_quantile_models(rows, F.col("date") <= F.lit(fold.train_end), features=_MODEL_FEATURES, params=boosting.quantile_params(max_iter=_TREES))
+    return models.predict_leafwise(fitted, fold.validation(rows)).select(*KEY, "sales", "pred_q05", "pred_q50", "pred_q95")
+
+
 @query()
 def stl_strength(spark, sf):
     return perform_stl_decomposition(dp.panel(spark, sf))

@@ -1,6 +1,7 @@
 """Boosted trees against a plain version that splits one leaf at a time over all rows."""
 
 import math
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from saleslens.operators import boosting
 from saleslens.operators.boosting import Model, Params, Task
+from saleslens.plans import queries as plans
 
 
 def plain_bounds(column, max_bins):
@@ -16,18 +18,22 @@ def plain_bounds(column, max_bins):
     return sorted({s[max(math.ceil(round(i / max_bins * len(s), 9)) - 1, 0)] for i in range(1, max_bins)} - {s[-1]})
 
 
-def plain_tree(x, gradient, value, p):
-    """Rows by leaf, in the order of leaves: the leaf with the best gain is split next, until none is left or the cap is reached."""
+def plain_tree(x, gradient, value, p, ours=None):
+    """Steps of all rows by leaf, the leaf with the best gain split next until none is left or the cap is reached; rows outside of ``ours`` follow but don't count."""
+    counts = np.ones(len(x), bool) if ours is None else ours
+
     def best(rows):
-        top = (0.0, None, None)
+        used = rows[counts[rows]]
+        top, total = (0.0, None, None), gradient[used].sum()
         for f in range(x.shape[1]):
-            for b in np.unique(x[rows, f])[:-1]:
-                left = rows[x[rows, f] <= b]
-                right = rows[x[rows, f] > b]
-                if min(len(left), len(right)) >= max(p.min_rows, 1):
-                    gain = sum(gradient[s].sum() ** 2 / (len(s) + p.l2) for s in (left, right)) - gradient[rows].sum() ** 2 / (len(rows) + p.l2)
-                    if gain > top[0] * (1 + 1e-9) and gain > 1e-9 * max(1, abs(gradient[rows].sum())):
-                        top = (gain, left, right)
+            n, s = np.bincount(x[used, f], minlength=256).cumsum(), np.bincount(x[used, f], gradient[used], 256).cumsum()
+            m = len(used) - n
+            with np.errstate(all="ignore"):
+                gain = s ** 2 / (n + p.l2) + (total - s) ** 2 / (m + p.l2) - total ** 2 / (len(used) + p.l2)
+            gain[(n < max(p.min_rows, 1)) | (m < max(p.min_rows, 1))] = -np.inf
+            b = int(np.flatnonzero(gain >= gain.max() - 1e-9 * abs(gain.max()))[0])
+            if gain[b] > top[0] * (1 + 1e-9) and gain[b] > 1e-9 * max(1, abs(total)):
+                top = (gain[b], rows[x[rows, f] <= b], rows[x[rows, f] > b])
         return top
 
     leaves = [(np.arange(len(x)), 0)]
@@ -41,7 +47,7 @@ def plain_tree(x, gradient, value, p):
         leaves[at:at + 1], known[at:at + 1] = [(left, depth), (right, depth)], [best(left), best(right)]
     out = np.zeros(len(x))
     for rows, _ in leaves:
-        out[rows] = value(rows)
+        out[rows] = value(rows[counts[rows]])
     return out, len(leaves)
 
 
@@ -141,3 +147,36 @@ def test_defined_cases(spark):
         boosting.fit(df, "y", ["a"], [Task("m", F.col("i") > 9)], p)
     with pytest.raises(ValueError):
         boosting.fit(df, "y", ["a"], [Task("m", F.lit(True)), Task("m", F.lit(True))], p)
+
+
+def test_registered_cross_validation_is_the_plain_version(spark, sf_dir):
+    """All rows of the folds over the whole panel: bounds are taken from the library, as a sketch may choose others; everything else is plain."""
+    _, fitted, oof = plans._leafwise(spark, sf_dir)
+    got = oof.orderBy("fold", "date", "store_nbr", "family").toPandas()
+    rows = plans._model_rows(spark, sf_dir).fillna(0).orderBy("date", "store_nbr", "family").toPandas()
+    p = Params(max_iter=plans._TREES)
+    days = sorted(rows["date"].unique())
+    for c in fitted.categorical:  # labels are numbered in the order of their texts
+        code = {v: i for i, v in enumerate(sorted(map(str, rows.loc[rows["date"] <= days[-1] - timedelta(days=15), c].unique())))}
+        rows[c] = rows[c].map(lambda v, code=code: code.get(str(v), -1))
+    values = rows[plans._MODEL_FEATURES].astype(float).to_numpy()
+    for name, k in (("Fold 1", 2), ("Fold 2", 1)):
+        last = days[-1]
+        train = (rows["date"] <= last - timedelta(days=15 * k)).to_numpy()
+        held = ((rows["date"] > last - timedelta(days=15 * k)) & (rows["date"] <= last - timedelta(days=15 * (k - 1)))).to_numpy()
+        model = fitted.models[name]
+        assert len(model.trees) == plans._TREES and all(sum(f < 0 for f in t.feature) == 63 for t in model.trees)
+        y = rows["sales"].to_numpy(float)
+        want = plain_predict(values, y, train, p, model.bounds)[held]
+        assert np.allclose(got.loc[got["fold"] == name, "pred"], np.maximum(want, 0), atol=1e-6)
+        assert np.allclose(got.loc[got["fold"] == name, "sales"], y[held])
+
+
+def plain_predict(values, y, train, p, bounds):
+    """Predictions for all rows of trees fitted to some."""
+    x = np.stack([np.searchsorted(b, c) for b, c in zip(bounds, values.T)], 1)
+    pred = np.full(len(y), y[train].mean())
+    for _ in range(p.max_iter):
+        g = pred - y
+        pred = pred + plain_tree(x, g, lambda r: -p.learning_rate * g[r].sum() / (len(r) + p.l2), p, train)[0]
+    return pred
