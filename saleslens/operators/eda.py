@@ -173,6 +173,11 @@ def analyze_store_patterns(df: DataFrame) -> DataFrame:
     return out.select("level", "value", (F.col("sum") / F.col("count")).alias("mean"), "sum", "count")
 
 
+def last_rows(df: DataFrame, k: int, *by: str) -> DataFrame:
+    """The last ``k`` rows in the order of ``by``, in that order; every task passes on ``k`` at most."""
+    return df.orderBy(*[F.desc_nulls_last(c) for c in by]).limit(k).orderBy(*[F.asc_nulls_first(c) for c in by])
+
+
 def top_cities(df: DataFrame, k: int = 10) -> DataFrame:
     return df.groupBy("city").agg(F.sum("sales").alias("total_sales")).orderBy(F.desc("total_sales"), "city").limit(k)
 

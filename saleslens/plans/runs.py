@@ -27,8 +27,8 @@ def create_master_dataframe(spark: SparkSession, data_dir: str, processed_dir: s
     return spark.read.parquet(path)
 
 
-def create_features(spark: SparkSession, processed_dir: str, val_start: str = "2017-08-01", val_end: str = "2017-08-15") -> DataFrame:
-    """Master panel to features, their list, and training and validation tables."""
+def create_features(spark: SparkSession, processed_dir: str, val_start: str = "2017-08-01", val_end: str = "2017-08-15", table: str | None = None) -> DataFrame:
+    """Master panel to features, their list, and training and validation tables; with ``table`` also a table bucketed by series."""
     path = f"{processed_dir}/train_features.parquet"
     writers.write_parquet(create_all_features(readers.load_master_dataframe(spark, processed_dir), encode_before=val_start), path, sort_by=("store_nbr", "family", "date"), floats=True)
     features = spark.read.parquet(path)
@@ -36,6 +36,8 @@ def create_features(spark: SparkSession, processed_dir: str, val_start: str = "2
     writers.write_parquet(train, f"{processed_dir}/train_features_train.parquet")
     writers.write_parquet(val, f"{processed_dir}/train_features_val.parquet")
     writers.save_feature_list(features, f"{processed_dir}/features_list")
+    if table:
+        writers.write_series_table(features, table)
     return features
 
 

@@ -23,6 +23,15 @@ def write_parquet(df: DataFrame, path: str, partition_by=(), sort_by=(), floats:
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
+def write_series_table(df: DataFrame, table: str, keys=("store_nbr", "family"), order: str = "date", buckets: int = 64, path: str | None = None) -> None:
+    """A table bucketed by series and sorted by date inside each bucket: windows over a series need no exchange when ``spark.table`` reads it.
+
+    Rows are dealt out like the buckets first, so each is one file.  ``path`` keeps the files outside of the warehouse.
+    """
+    out = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, order)
+    (out.option("path", path) if path else out).saveAsTable(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One file with a header: for small results."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
