@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from saleslens.operators import business, features, hierarchy, models
+from saleslens.operators import boosting, business, features, hierarchy, models
 from saleslens.plans import runs
 from saleslens.sources import readers, writers
 
@@ -176,3 +176,49 @@ def test_shrunk_reconciliation_of_20_000_series(spark):
     weighed = rest / d - (u / d[:, None]) @ np.linalg.solve(np.eye(n_t) + u.T @ (u / d[:, None]), u.T @ (rest / d))
     gradient = weighed[0] + weighed[1:1 + n_s][:, None] + weighed[1 + n_s:1 + n_s + n_f][None, :] + weighed[1 + n_s + n_f:].reshape(n_s, n_f)
     assert np.abs(gradient).max() < 1e-8 * np.abs(y / d).max()
+
+
+def test_leafwise_runs(spark, folder):
+    """Folds side by side, stored models, and metrics of the stored predictions."""
+    columns = ["store_nbr", "family", "weekday"]
+    folds = [models.Fold("a", None, date(2017, 7, 20), date(2017, 7, 21), date(2017, 7, 31)), models.Fold("b", None, date(2017, 7, 31), date(2017, 8, 1), date(2017, 8, 10))]
+    few = boosting.Params(max_iter=8, min_rows=2, learning_rate=0.4)
+    metrics = runs.train_leafwise(spark, f"{folder}/processed", f"{folder}/leafwise", f"{folder}/models", folds, columns, few).collect()
+    oof = spark.read.parquet(f"{folder}/leafwise/oof_predictions.parquet").toPandas()
+    assert {r.fold for r in metrics} == {"a", "b"} and len(oof) == 4 * 21
+    for r in metrics:
+        some = oof[oof["fold"] == r.fold]
+        assert r.mae == pytest.approx((some["sales"] - some["pred"]).abs().mean()) and r.mae < 2
+        assert r.rmsle == pytest.approx(np.sqrt(np.mean((np.log1p(some["pred"]) - np.log1p(some["sales"])) ** 2)))
+    assert readers.load_error_by_family(spark, f"{folder}/leafwise").count() == 2
+    stored = writers.load_boosted(spark, f"{folder}/models/leafwise_folds.json")
+    assert set(stored) == {"a", "b"} and all(len(m.trees) <= 8 and m.losses for m in stored.values())
+
+
+def test_quantile_model_run(spark, folder):
+    columns = ["store_nbr", "family", "weekday"]
+    few = boosting.quantile_params(max_iter=6, learning_rate=1.0, subsample=1.0)
+    coverage = runs.predict_quantile_models(spark, f"{folder}/processed", f"{folder}/quantiles", f"{folder}/models", features=columns, params=few, point=boosting.Params(max_iter=10, min_rows=2, learning_rate=0.5)).first()
+    got = readers.load_quantile_predictions(spark, f"{folder}/quantiles")
+    assert got.columns == ["date", "store_nbr", "family", "unique_id", "sales", "pred", "pred_q05", "pred_q50", "pred_q95"] and got.count() == 15 * 4
+    assert coverage.coverage_pct == pytest.approx(100 * got.where("sales between pred_q05 and pred_q95").count() / 60) and coverage.coverage_pct >= 90
+    assert set(writers.load_boosted(spark, f"{folder}/models/quantile_models.json")) == {"pred", "pred_q05", "pred_q50", "pred_q95"}
+
+
+def test_importance_and_metrics_are_those_of_the_models(spark):
+    """Shares of the features add up to one for each model, a feature that says nothing has none, and metrics follow from the predictions."""
+    rows = spark.range(1200).select((F.lit(DAY) + (F.col("id") / 12).cast("int")).alias("date"), (F.col("id") % 4).cast("int").alias("store_nbr"), F.concat(F.lit("F"), F.col("id") % 3).alias("family"),
+                                    ((F.col("id") % 4) * 10 + F.col("id") % 5).cast("double").alias("sales"), F.lit(1.0).alias("flat"))
+    last = DAY + timedelta(days=99)
+    folds = [models.Fold("x", None, last - timedelta(days=20), last - timedelta(days=19), last - timedelta(days=10)), models.Fold("y", None, last - timedelta(days=10), last - timedelta(days=9), last)]
+    metrics, fitted, oof = models.run_cv(rows, folds, features=["store_nbr", "flat"], params=TREES)
+    table = {r.feature: r for r in models.feature_importance(spark, fitted).collect()}
+    assert table["flat"].importance_mean == 0 and table["store_nbr"].importance_mean == pytest.approx(1) and sum(r.importance_pct for r in table.values()) == pytest.approx(100)
+    some = oof.toPandas()
+    assert len(some) == 240
+    for r in metrics.collect():
+        of_fold = some[some["fold"] == r.fold]
+        assert r.mae == pytest.approx((of_fold["sales"] - of_fold["pred"]).abs().mean()) and r.mae < 3
+    leafwise = models.run_cv_leafwise(rows, folds, features=["store_nbr", "flat"], params=boosting.Params(max_iter=3, min_rows=5), early_fraction=0.0)[1]
+    table = {r.feature: r for r in models.leafwise_importance(spark, leafwise).collect()}
+    assert table["flat"].importance_mean == 0 and table["store_nbr"].importance_mean == pytest.approx(1) and table["store_nbr"].importance_pct == pytest.approx(100)
