@@ -128,7 +128,9 @@ class Model:
 
 
 def binned(values: np.ndarray, bounds: Sequence[Sequence[float]]) -> np.ndarray:
-    return np.stack([np.searchsorted(np.asarray(b, float), values[:, i], "left") for i, b in enumerate(bounds)], 1).astype(np.uint8) if bounds else np.zeros((len(values), 0), np.uint8)
+    if not bounds:
+        return np.zeros((len(values), 0), np.uint8)
+    return np.stack([np.searchsorted(np.asarray(b, float), values[:, i], "left") for i, b in enumerate(bounds)], 1).astype(np.uint8)
 
 
 def bin_bounds(df: DataFrame, features: list[str], max_bins: int = 255) -> list[list[float]]:
@@ -163,7 +165,8 @@ def _table(df: DataFrame, target: str, features: list[str], bounds: list[list[fl
             values = b.column("v").flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             bins = binned(np.nan_to_num(values, nan=0.0), bounds)
             roles = b.column("roles").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("y"), b.column("u"), pa.array([r.tobytes() for r in roles], pa.binary())], names=["x", "y", "u", "roles"])
+            x, of = (pa.array([r.tobytes() for r in m], pa.binary()) for m in (bins, roles))
+            yield pa.RecordBatch.from_arrays([x, b.column("y"), b.column("u"), of], names=["x", "y", "u", "roles"])
 
     return stage(rows.mapInArrow(packed, "x binary, y double, u long, roles binary"), "boost-bins")
 
@@ -331,9 +334,12 @@ def _histograms(table: DataFrame, states: list[_State], growths: list[_Growth |
                     key = base + x[at, f]
                     g[m][f] += np.bincount(key, d, len(w) * bins).reshape(len(w), bins)
                     n[m][f] += np.bincount(key, minlength=len(w) * bins).reshape(len(w), bins)
-        rows = [(m, i, f, g[m][f:f + BLOCK, j].tobytes(), n[m][f:f + BLOCK, j].tobytes()) for m, w in enumerate(wanted) for j, i in enumerate(w) for f in range(0, features, BLOCK) if n[m][f, j].any()]
+        rows = [(m, i, f, g[m][f:f + BLOCK, j].tobytes(), n[m][f:f + BLOCK, j].tobytes())
+                for m, w in enumerate(wanted) for j, i in enumerate(w) for f in range(0, features, BLOCK) if n[m][f, j].any()]
         rows += [(m, 0, -1, held[m, :1].tobytes(), held[m, 1:].tobytes()) for m, w in enumerate(wanted) if w == [0]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["task", "node", "block", "g", "n"])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["task", "node", "block", "g", "n"])
 
     return table.mapInArrow(added, "task int, node int, block int, g binary, n binary")
 
@@ -424,7 +430,8 @@ def _leaf_quantiles(table: DataFrame, states: list[_State], trees: list[Tree | N
                 if p.subsample < 1:
                     use &= _uniform(u, p.seed, number) < p.subsample
                 at = np.flatnonzero(use)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(trees[m].leaves(x[at]).astype(np.int32)), pa.array(y[at] - sums[at, m])], names=["task", "leaf", "r"])
+                columns = (np.full(len(at), m, np.int32), trees[m].leaves(x[at]).astype(np.int32), y[at] - sums[at, m])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["task", "leaf", "r"])
 
     levels = sorted({states[m].quantile for m in ours})
     rows = table.mapInArrow(residuals, "task int, leaf int, r double").groupBy("task", "leaf").agg(F.percentile_approx("r", levels, ACCURACY).alias("q")).collect()
@@ -438,7 +445,8 @@ def _restaged(table: DataFrame, states: list[_State]) -> DataFrame:
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums = _decoded(b, states)[4]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "u", "roles")), pa.array([r.tobytes() for r in sums], pa.binary())], names=["x", "y", "u", "roles", "sums"])
+            kept = [b.column(c) for c in ("x", "y", "u", "roles")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([r.tobytes() for r in sums], pa.binary())], names=["x", "y", "u", "roles", "sums"])
 
     out = stage(table.mapInArrow(summed, "x binary, y double, u long, roles binary, sums binary"), "boost-sums")
     for s in states:
@@ -469,7 +477,9 @@ def fit(df: DataFrame, target: str, features: list[str], tasks: list[Task], para
         bounds = bin_bounds(zeroed, features, p.max_bins)
     table = _table(df.where(used), target, features, bounds, tasks, p.seed)
     y, role = F.col("y"), [F.hex(F.substring("roles", m + 1, 1)) == "01" for m in range(len(tasks))]
-    first = table.agg(*[F.avg(F.when(r, y)).alias(f"b{m}") if t.quantile is None else F.percentile_approx(F.when(r, y), t.quantile, ACCURACY).alias(f"b{m}") for m, (t, r) in enumerate(zip(tasks, role, strict=True))]).first()
+    known = [F.when(r, y) for r in role]
+    start = [F.avg(x) if t.quantile is None else F.percentile_approx(x, t.quantile, ACCURACY) for t, x in zip(tasks, known, strict=True)]
+    first = table.agg(*[b.alias(f"b{m}") for m, b in enumerate(start)]).first()
     if None in tuple(first):
         raise ValueError("no training rows: " + ", ".join(t.name for t, b in zip(tasks, first, strict=True) if b is None))
     states = [_State(t.quantile, float(b)) for t, b in zip(tasks, first, strict=True)]

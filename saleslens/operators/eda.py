@@ -38,7 +38,8 @@ def analyze_store_family_combinations(df: DataFrame, sparse_above: float = 0.9)
 def sales_distribution(df: DataFrame, column: str = "sales") -> DataFrame:
     """One row: mean, median, std, min, max, skewness and excess kurtosis (sample-corrected)."""
     x = F.col(column)
-    rest = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), stats.sample_skewness(x).alias("skewness"), stats.sample_kurtosis(x).alias("kurtosis"))
+    rest = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                  stats.sample_skewness(x).alias("skewness"), stats.sample_kurtosis(x).alias("kurtosis"))
     median = F.broadcast(exact_percentiles(df, column, [0.5]).select(F.lit(1).alias("__one"), F.col("q")[0].alias("median")))  # a row each
     return rest.withColumn("__one", F.lit(1)).join(median, "__one", "left").select("mean", "median", "std", "min", "max", "skewness", "kurtosis")
 
@@ -188,11 +189,13 @@ def extreme_values(df: DataFrame, above: float = 10_000, column: str = "sales")
 
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """Count, mean, deviation, min, quartiles and max of numeric columns, exact quartiles."""
-    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
+    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                     F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
     rest = df.agg(F.array(*each).alias("r")).select(F.inline("r"))
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("x")).select("x.c", "x.v")
     q = exact_percentiles(long, "v", [0.25, 0.5, 0.75], ["c"]).select("c", "q")
-    return rest.join(q, F.col("column") == F.col("c"), "left").select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    quartiles = [F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+    return rest.join(q, F.col("column") == F.col("c"), "left").select("column", "count", "mean", "std", "min", *quartiles, "max")
 
 
 def series_ids(df: DataFrame) -> DataFrame:

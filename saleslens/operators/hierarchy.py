@@ -261,11 +261,14 @@ def mint_shrink(base: DataFrame, residuals: DataFrame, max_series: int = 5000, s
     r = (z - z.sum(0) / max(dates, 1)) @ push.T * ((1 - shrinkage) / max(dates - 1, 1))
 
     blocks = range(0, len(asked), _DATES)
-    pull = F.broadcast(spark.createDataFrame([(d, b // _DATES, [float(x) for x in row[b:b + _DATES]]) for d, row in zip(when, r, strict=True) for b in blocks], "date date, b int, r array<double>"))
+    pulls = [(d, b // _DATES, [float(x) for x in row[b:b + _DATES]]) for d, row in zip(when, r, strict=True) for b in blocks]
+    pull = F.broadcast(spark.createDataFrame(pulls, "date date, b int, r array<double>"))
     width = min(_DATES, max(len(asked), 1))
-    moved = up.bottoms(known).join(pull, "date").groupBy("__us", "__uf", "b").agg(*[F.sum(F.col("value") * F.get("r", F.lit(i))).alias(f"m{i}") for i in range(width)])
+    sums = [F.sum(F.col("value") * F.get("r", F.lit(i))).alias(f"m{i}") for i in range(width)]
+    moved = up.bottoms(known).join(pull, "date").groupBy("__us", "__uf", "b").agg(*sums)
     moved = moved.select("__us", "__uf", "b", F.posexplode(F.array(*[f"m{i}" for i in range(width)])).alias("i", "moved"))
-    pushes = spark.createDataFrame([(d, i // _DATES, i % _DATES, [float(x) for x in row]) for i, (d, row) in enumerate(zip(asked, push, strict=True))], "date date, b int, i int, p array<double>")
+    pushes = [(d, i // _DATES, i % _DATES, [float(x) for x in row]) for i, (d, row) in enumerate(zip(asked, push, strict=True))]
+    pushes = spark.createDataFrame(pushes, "date date, b int, i int, p array<double>")
     cells = pushes.select("date", "b", "i", "p", F.explode(F.lit(up.stores)).alias("__store")).join(up.store_table, "__store")
     cells = cells.withColumn("__family", F.explode(F.lit(up.families))).join(up.family_table, "__family")
     here = up.bottoms(base).groupBy("date", "__us", "__uf").agg(F.sum("value").alias("value"))

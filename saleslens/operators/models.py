@@ -275,7 +275,8 @@ def fit_leafwise(df: DataFrame, tasks: Sequence[boosting.Task], target: str = "s
     flags = {f"__train_{i}": F.coalesce(x.train, F.lit(False)) for i, x in enumerate(tasks)}
     flags |= {f"__held_{i}": F.coalesce(x.held, F.lit(False)) for i, x in enumerate(tasks) if x.held is not None}
     flagged = df.withColumns(flags)
-    rows = _texts(model_frame(flagged.where(F.greatest(*[F.col(f"__train_{i}").cast("int") for i in range(len(tasks))], F.lit(0)) > 0), features, [target, *flags]), categorical)
+    used = F.greatest(F.lit(0), *[F.col(f"__train_{i}").cast("int") for i in range(len(tasks))]) > 0
+    rows = _texts(model_frame(flagged.where(used), features, [target, *flags]), categorical)
     labels = fit_labels(rows, categorical) if categorical else None
     numbers = [f"{c}__code" if c in categorical else c for c in features]
     ours = [boosting.Task(x.name, F.col(f"__train_{i}") > 0, F.col(f"__held_{i}") > 0 if x.held is not None else None, x.quantile) for i, x in enumerate(tasks)]
@@ -323,7 +324,8 @@ def leafwise_importance(spark, fitted: Leafwise) -> DataFrame:
     return importance_table(spark.createDataFrame(rows, "fold string, feature string, importance double"))
 
 
-def train_quantile_models(df: DataFrame, train: Column, quantiles=(0.05, 0.5, 0.95), target: str = "sales", features: list[str] | None = None, params: boosting.Params | None = None) -> Leafwise:
+def train_quantile_models(df: DataFrame, train: Column, quantiles=(0.05, 0.5, 0.95), target: str = "sales", features: list[str] | None = None,
+                          params: boosting.Params | None = None) -> Leafwise:
     """A model with the pinball loss per quantile, named like its column (``pred_q05``), trained side by side on the rows where ``train`` holds."""
     tasks = [boosting.Task(quantile_name(q), train, quantile=q) for q in quantiles]
     return fit_leafwise(df, tasks, target, features, params=boosting.quantile_params() if params is None else params)
